@@ -61,6 +61,97 @@ BINDINGS: dict[str, str] = {
                CASE l_suppkey % 2 WHEN 0 THEN 'TRY' ELSE 'EUR' END AS currency,
                l_shipdate AS occurred_at, l_linestatus = 'F' AS business_expense, l_returnflag = 'R' AS reimbursable
         FROM lineitem""",
+    "merchant": "SELECT c_custkey AS id, c_name AS name FROM customer",
+    "payment": "SELECT DISTINCT o_orderpriority AS id, 'Pay ' || o_orderpriority AS name FROM orders",
+    "expense_ids": """
+        SELECT id, workspace_id, merchant_id, description AS note, payment_method_name AS payment_method_id, amount_minor
+        FROM expense""",
+    "workflow": """
+        SELECT 'wf-' || CAST(o_orderkey AS STRING) AS id, o_orderkey AS target_id,
+               CASE o_orderkey % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'APPROVED' ELSE 'REJECTED' END AS state,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey % 20 END AS approver_id,
+               CASE WHEN o_orderkey % 31 = 0 THEN NULL
+                    ELSE o_orderdate + INTERVAL '1' HOUR * CAST(48 + o_orderkey % 72 AS INT) END AS sla_due_at,
+               CASE WHEN o_orderkey % 41 = 0 THEN o_orderdate + INTERVAL '50' HOUR ELSE NULL END AS sla_breached_at,
+               CASE WHEN o_orderkey % 3 = 1 THEN 'MET_ON_TIME' ELSE 'ON_TRACK' END AS sla_status,
+               CAST(48 AS INT) AS sla_hours,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL
+                    ELSE o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 120 AS INT) END AS decided_at
+        FROM orders WHERE o_orderkey % 4 <> 0""",
+    "claim": """
+        SELECT o_orderkey AS id, o_custkey % 7 AS workspace_id, o_custkey % 20 AS claimant_id,
+               CASE floor(o_orderkey / 5.0) % 4 WHEN 0 THEN 'NEEDS_REVIEW' WHEN 1 THEN 'APPROVED'
+                    WHEN 2 THEN 'REIMBURSED' ELSE 'REJECTED' END AS status,
+               CAST(round(o_totalprice * 100) AS BIGINT) AS total_minor, 'EUR' AS currency,
+               o_orderdate AS created_at,
+               CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE o_orderdate + INTERVAL '10' DAY END AS submitted_at,
+               CASE WHEN floor(o_orderkey / 5.0) % 4 = 2 THEN o_orderdate + INTERVAL '30' DAY ELSE NULL END AS paid_at
+        FROM orders WHERE o_orderkey % 5 = 0""",
+    "claim_item": """
+        SELECT CAST(floor(o_orderkey / 5.0) AS BIGINT) * 5 AS claim_id, o_orderkey AS expense_id,
+               CAST(round(o_totalprice * 100) AS BIGINT) AS amount_minor
+        FROM orders WHERE o_orderkey % 5 < 3
+        UNION ALL
+        SELECT CAST(floor(o_orderkey / 5.0) AS BIGINT) * 5 + 5 AS claim_id, o_orderkey AS expense_id,
+               CAST(round(o_totalprice * 50) AS BIGINT) AS amount_minor
+        FROM orders WHERE o_orderkey % 10 = 1""",
+    "decision": """
+        SELECT event_id, user_id * 5 AS claim_id, ts AS decided_at,
+               CASE event_type WHEN 'click' THEN 'APPROVED' WHEN 'purchase' THEN 'REIMBURSED' ELSE 'REJECTED' END AS action
+        FROM events WHERE event_type IN ('click', 'purchase') OR (event_type = 'error' AND event_id % 7 = 0)""",
+    "policy": """
+        SELECT n_nationkey AS id, n_regionkey AS workspace_id, n_name AS name, n_nationkey <> 24 AS active,
+               CASE WHEN n_nationkey % 2 = 0 THEN 'block' ELSE 'warning' END AS severity,
+               CASE floor(n_nationkey / 5.0) WHEN 0 THEN 'MAX_AMOUNT_BY_CATEGORY' WHEN 1 THEN 'RECEIPT_REQUIRED_ABOVE'
+                    WHEN 2 THEN 'PROJECT_REQUIRED' WHEN 3 THEN 'ALLOWED_CATEGORIES'
+                    ELSE 'DUPLICATE_RECEIPT_REJECTION' END AS rule_type,
+               CASE WHEN n_nationkey = 0 THEN '{"maxAmountMinor":"40000000","categoryId":"BUILDING"}'
+                    WHEN n_nationkey = 1 THEN '{"maxAmountMinor":"oops"}'
+                    WHEN n_nationkey < 5 THEN '{"maxAmountMinor":"45000000"}'
+                    WHEN n_nationkey < 10 THEN '{"thresholdMinor":"20000000"}'
+                    WHEN n_nationkey = 10 THEN '{"onlyBusiness":false}'
+                    WHEN n_nationkey < 15 THEN '{}'
+                    WHEN n_nationkey = 15 THEN '{"categoryIds":[]}'
+                    WHEN n_nationkey < 20 THEN '{"categoryIds":["BUILDING","MACHINERY"]}' ELSE '{}' END AS config
+        FROM nation""",
+    "recurring": """
+        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 'M' || CAST(o_custkey AS STRING) END
+                 AS merchant_name,
+               CAST(round(o_totalprice * 100) AS BIGINT) AS amount_minor, 'TRY' AS currency,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'weekly' ELSE 'monthly' END AS cadence,
+               o_orderdate + INTERVAL '3' HOUR AS next_due_at
+        FROM orders""",
+    "upload_session": """
+        SELECT o_orderkey AS session_id, 5000000 AS chunk_size, CAST(7 AS INT) AS chunk_count,
+               35000000 - o_orderkey % 4999999 AS size_bytes
+        FROM orders""",
+    "upload_chunk": "SELECT l_orderkey AS session_id, CAST(l_linenumber - 1 AS BIGINT) AS chunk_index FROM lineitem",
+    "extraction": """
+        SELECT o_orderkey AS id, CAST(floor(o_orderkey / 2.0) AS BIGINT) AS document_id, o_orderdate AS created_at,
+               CASE WHEN o_orderkey % 7 = 3 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+               CASE o_orderkey % 8 WHEN 0 THEN 'unknown_document' WHEN 1 THEN 'bank_transfer_receipt' WHEN 2 THEN 'invoice'
+                    ELSE 'retail_receipt' END AS document_type,
+               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'M' || CAST(o_custkey AS STRING) END AS merchant,
+               CASE WHEN o_orderkey % 12 = 5 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS date,
+               CASE WHEN o_orderkey % 14 = 6 THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS total_minor,
+               (o_orderkey % 21) / 20.0E0 AS merchant_confidence, (o_orderkey % 17) / 16.0E0 AS date_confidence,
+               (o_orderkey % 11) / 10.0E0 AS total_confidence, (o_orderkey % 6) / 5.0E0 AS document_type_confidence,
+               CASE WHEN o_orderkey % 9 = 2 THEN 'critical' WHEN o_orderkey % 9 = 5 THEN 'warning' ELSE NULL END
+                 AS issue_severity,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'TAX_MISMATCH' ELSE 'DATE_MISSING' END AS issue_code
+        FROM orders""",
+    "allocation": """
+        SELECT o_orderkey AS expense_id, ' first ' AS title,
+               CAST(floor(round(o_totalprice * 100) / 2) AS BIGINT) AS amount_minor,
+               CAST(round(o_totalprice * 18) AS BIGINT) AS tax_minor, 'S1' AS project_code, TRUE AS business_expense
+        FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL
+        SELECT o_orderkey AS expense_id, 'second' AS title,
+               CAST(round(o_totalprice * 100) - floor(round(o_totalprice * 100) / 2) AS BIGINT)
+                 + CASE WHEN o_orderkey % 12 = 0 THEN 1 ELSE 0 END AS amount_minor,
+               CASE WHEN o_orderkey % 15 = 0 THEN CAST(1 AS BIGINT) ELSE NULL END AS tax_minor,
+               NULL AS project_code, NULL AS business_expense
+        FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0""",
 }
 
 
