@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -54,10 +54,16 @@ def positions(
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """First ``n`` rows per group. Spark trims each input partition to ``n``
     rows per group before the shuffle, so hot groups do not travel whole."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+    ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)
+    return ranked.withColumn(name, F.col(name).cast("long"))
 
 
 def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Newest row per key by ``order`` (ties: larger wins), as a mergeable aggregate."""
     row = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("row")
     return df.groupBy(*keys).agg(row).select("row.*")
+
+
+def literal_rows(spark: SparkSession, column: str, values: tuple) -> DataFrame:
+    """A fixed list as a one-column table (planned, not shipped from Python)."""
+    return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))

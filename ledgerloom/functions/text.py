@@ -95,4 +95,4 @@ def clamp_round4(value: Column) -> Column:
 
 def fixed4(value: Column) -> Column:
     """Four-decimal text of an optional number, blank when missing."""
-    return F.coalesce(F.format_string("%.4f", value), F.lit(""))
+    return F.when(value.isNotNull(), F.format_string("%.4f", value)).otherwise(F.lit(""))

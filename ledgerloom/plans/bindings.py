@@ -152,6 +152,130 @@ BINDINGS: dict[str, str] = {
                CASE WHEN o_orderkey % 15 = 0 THEN CAST(1 AS BIGINT) ELSE NULL END AS tax_minor,
                NULL AS project_code, NULL AS business_expense
         FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 9 <> 0""",
+    "review_task": """
+        SELECT o_orderkey AS id, (o_custkey % 20) % 3 AS tenant_id, o_orderkey AS document_id,
+               CASE o_orderkey % 7 WHEN 3 THEN 'RUNNING' WHEN 4 THEN 'SUCCEEDED' WHEN 5 THEN 'SUCCEEDED'
+                    WHEN 6 THEN 'FAILED' ELSE 'QUEUED' END AS status,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey % 20 END AS assigned_to,
+               CASE WHEN o_orderkey % 2 = 0 THEN 'LOW_CONFIDENCE' ELSE 'SLA_ESCALATED' END AS reason_code,
+               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 60 AS INT)
+                    END AS due_at,
+               o_orderdate AS created_at
+        FROM orders""",
+    "app_user": """
+        SELECT s_suppkey AS id, s_suppkey % 3 AS tenant_id, s_name AS display_name, s_suppkey % 17 = 0 AS disabled
+        FROM supplier""",
+    "user_role": """
+        SELECT s_suppkey AS user_id, CASE s_suppkey % 6 WHEN 0 THEN 'REVIEWER' WHEN 1 THEN 'OWNER' WHEN 2 THEN 'EMPLOYEE'
+               WHEN 3 THEN 'FINANCE_MANAGER' WHEN 4 THEN 'VIEWER' ELSE 'ADMIN' END AS role FROM supplier
+        UNION ALL SELECT s_suppkey AS user_id, 'VIEWER' AS role FROM supplier WHERE s_suppkey % 4 = 0""",
+    "keyed_event": """
+        SELECT event_id, user_id, user_id % 10 AS tenant_id, ts, event_type, value,
+               CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k
+        FROM events""",
+    "outbox": """
+        SELECT event_id AS id, tenant_id,
+               CASE event_type WHEN 'view' THEN 'document.uploaded' WHEN 'click' THEN 'expense.created'
+                    WHEN 'purchase' THEN 'expense.approved' WHEN 'error' THEN 'expense.rejected'
+                    ELSE 'expense.updated' END AS topic,
+               'agg-' || CAST(user_id AS STRING) AS aggregate_id, ts AS created_at,
+               CASE WHEN k % 3 = 1 THEN ts + INTERVAL '1' HOUR ELSE NULL END AS published_at,
+               CASE WHEN k % 10 = 0 THEN 'DLQ: Broker timeout ' || CAST(k AS STRING) WHEN k % 10 = 5 THEN 'RETRY: slow'
+                    WHEN k % 10 = 7 THEN 'DLQ: schema' ELSE NULL END AS failure_reason
+        FROM keyed_event""",
+    "inbox": """
+        SELECT CASE WHEN k % 2 = 0 THEN 'ledger' ELSE 'search' END AS consumer_name, event_id % 4000 AS event_id, tenant_id,
+               event_type AS topic, CASE WHEN k % 8 = 0 THEN 'failed' ELSE 'processed' END AS status, ts AS received_at
+        FROM keyed_event""",
+    "audit": """
+        SELECT event_id AS id, tenant_id, user_id AS actor_user_id, event_type || '.' || CAST(k % 4 AS STRING) AS action,
+               CASE event_type WHEN 'view' THEN 'Expense' WHEN 'click' THEN 'Budget' ELSE 'Document' END AS resource_type,
+               CASE WHEN k % 6 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS resource_id,
+               CASE WHEN k % 2 = 0 THEN '{"workspaceId":"' || CAST(user_id % 7 AS STRING) || '"}' ELSE '{}' END AS metadata,
+               ts AS created_at
+        FROM keyed_event""",
+    "job": """
+        SELECT event_id AS id, tenant_id, event_type AS queue, user_id AS document_id,
+               CASE WHEN k < 20 THEN 'QUEUED' WHEN k < 40 THEN 'RUNNING' WHEN k < 60 THEN 'FAILED' WHEN k < 95 THEN 'SUCCEEDED'
+                    ELSE 'CANCELED' END AS status,
+               k % 5 AS attempts, CAST(3 AS INT) AS max_attempts,
+               CASE WHEN k % 4 = 0 THEN NULL ELSE 'worker-' || CAST(k % 4 AS STRING) END AS locked_by,
+               ts AS created_at, ts + INTERVAL '1' MINUTE * k AS updated_at
+        FROM keyed_event""",
+    "request": """
+        SELECT CASE WHEN k % 3 = 0 THEN 'POST' ELSE 'GET' END AS method, '/' || event_type AS route,
+               CASE WHEN k % 20 = 0 THEN 500 WHEN k % 9 = 0 THEN 404 ELSE 200 END AS status_code,
+               value / 50 AS duration_seconds, ts
+        FROM keyed_event""",
+    "notification": """
+        SELECT event_id AS id, user_id, ts AS created_at, CASE WHEN k % 3 = 0 THEN ts ELSE NULL END AS read_at, event_type AS kind
+        FROM keyed_event""",
+    "endpoint": """
+        SELECT s_suppkey AS id, s_suppkey % 10 AS tenant_id, s_suppkey % 5 <> 0 AS enabled,
+               CASE s_suppkey % 3 WHEN 0 THEN 'expense.created,expense.approved' WHEN 1 THEN 'document.uploaded'
+                    ELSE 'expense.created,document.uploaded,expense.rejected' END AS event_types
+        FROM supplier""",
+    "topic_offset": """
+        SELECT event_type AS topic, event_id % 4 AS partition_id, max(event_id) AS high FROM keyed_event
+        WHERE event_id % 4 < 3 GROUP BY event_type, event_id % 4""",
+    "committed_offset": """
+        SELECT user_id % 3 AS group_id, event_type AS topic, event_id % 4 AS partition_id, max(event_id) + 40 AS committed
+        FROM keyed_event WHERE k < 50 GROUP BY user_id % 3, event_type, event_id % 4""",
+    "document_file": """
+        SELECT doc_id AS id, doc_id % 5 AS workspace_id, doc_id % 3 AS tenant_id, lang AS kind,
+               'scan ' || source || '.pdf' AS original_name, 'scan-' || source AS safe_name, n_chars AS size_bytes,
+               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 700 AS INT) AS created_at,
+               CASE WHEN doc_id % 10 = 9 THEN TIMESTAMP '2024-03-01 00:00:00' ELSE NULL END AS deleted_at, text
+        FROM documents""",
+    "ocr_job": """
+        SELECT doc_id AS id, doc_id AS document_id, CASE WHEN doc_id % 9 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 700 AS INT) AS created_at,
+               CASE WHEN doc_id % 6 = 0 THEN NULL
+                    ELSE TIMESTAMP '2024-01-05 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 700 AS INT) END AS completed_at,
+               'TESSERACT|CUSTOM_CRNN' AS requested_engines
+        FROM documents""",
+    "ocr_run": """
+        SELECT doc_id * 2 AS id, doc_id AS job_id, 'TESSERACT' AS engine,
+               CASE WHEN doc_id % 9 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+               CASE WHEN doc_id % 9 = 0 THEN NULL ELSE (n_chars % 100) / 100.0E0 END AS confidence,
+               CASE WHEN doc_id % 8 = 0 THEN NULL ELSE n_chars END AS latency_ms,
+               CASE WHEN doc_id % 9 = 0 THEN 'TIMEOUT' ELSE NULL END AS failure_reason, '{}' AS normalized_json
+        FROM documents
+        UNION ALL
+        SELECT doc_id * 2 + 1 AS id, doc_id AS job_id, 'ENSEMBLE' AS engine, 'SUCCEEDED' AS status,
+               (n_chars % 90) / 100.0E0 AS confidence, n_chars % 70 AS latency_ms, NULL AS failure_reason,
+               '{"selectedEngine":"TESSERACT","averageConfidence":' || CAST(n_chars % 10 AS STRING) || '.5,"failureRate":' ||
+                 CASE WHEN doc_id % 4 = 0 THEN '"bad"' ELSE '0.25' END || ',"characterErrorRate":' ||
+                 CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE '0.12345' END || ',"conflictFields":["date","total"]}' AS normalized_json
+        FROM documents""",
+    "model_version": """
+        SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 10 = 0 THEN 'TESSERACT' ELSE 'CUSTOM_CRNN' END AS engine,
+               'CANDIDATE' AS status, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'bucket' END AS artifact_bucket,
+               CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'key-' || CAST(p_partkey AS STRING) END AS artifact_key,
+               CASE p_partkey % 8
+                 WHEN 0 THEN '{}'
+                 WHEN 1 THEN '{"profile":"smoke-1"}'
+                 WHEN 2 THEN '{"training_profile":"full","realFixtureBenchmarkStatus":"passed","qualityGatePassed":true}'
+                 WHEN 3 THEN '{"training_profile":"full","realFixtureBenchmarkStatus":"failed","qualityGatePassed":true}'
+                 WHEN 4 THEN '{"profile":"full","engines":{"CUSTOM_CRNN":{"qualityGateStatus":"passed","qualityGatePassed":true,"highConfidenceWrongCount":2}}}'
+                 WHEN 5 THEN '{"profile":"full","engines":{"CUSTOM_CRNN":{"qualityGateStatus":"passed","qualityGatePassed":true,"highConfidenceWrongCount":0}}}'
+                 WHEN 6 THEN '{"profile":"full","validated_on_real_fixtures":true,"qualityGatePassed":"yes"}'
+                 ELSE '{"profile":"full","validatedOnRealFixtures":true,"qualityGatePassed":true}' END AS metrics
+        FROM part""",
+    "training_run": """
+        SELECT l_orderkey * 100 + l_linenumber AS id, l_partkey AS model_version_id, l_shipdate AS created_at,
+               max(CASE WHEN l_linestatus = 'F' THEN 'SUCCEEDED' ELSE 'FAILED' END) AS status
+        FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey, l_linenumber, l_partkey, l_shipdate""",
+    "evaluation_run": """
+        SELECT l_orderkey AS id, CASE WHEN l_partkey % 25 = 0 THEN NULL ELSE l_partkey END AS model_version_id, 'SUCCEEDED' AS status,
+               l_shipdate AS completed_at, '{"accuracy":' || CAST(l_linenumber AS STRING) || '.123456,"macro_f1":"n/a","cer":0.5,"accuracy_note":"ok"}'
+                 AS metrics
+        FROM lineitem WHERE l_returnflag = 'A'""",
+    "annotation": "SELECT conv_id AS document_id, conv_id * 1000 + turn AS id, role, turn, text FROM conversations",
+    "budget_period": """
+        SELECT o_orderkey AS id, o_custkey % 25 AS budget_id, o_orderdate AS updated_at,
+               CAST(round(o_totalprice * 200) AS BIGINT) AS spent_minor FROM orders""",
+    "export_job": "SELECT event_id AS id, event_type AS type, CASE WHEN k < 50 THEN 'SUCCEEDED' ELSE 'FAILED' END AS status FROM keyed_event",
 }
 
 
@@ -174,7 +298,7 @@ class Tables:
         """Run dialect-neutral SQL over the tables it names."""
         for table in names_in(text):
             getattr(self, table).createOrReplaceTempView(table)
-        return self.spark.sql(text)
+        return self.spark.sql(text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
