@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 EXACT = "decimal(38,0)"
 
 # The supported currencies (all with two minor digits).
@@ -63,14 +65,19 @@ def parse_import_amount(text: Column, is_minor: Column) -> Column:
 def parse_locale_amount(text: Column) -> Column:
     """Amount in either locale to minor units: the last ``,`` or ``.`` is the
     decimal mark and needs one or two digits after it; null when malformed."""
-    kept = F.regexp_replace(text, r"[^0-9,.\-]", "")
-    plain = (
-        F.when(kept.rlike(r",[^.]*$"), F.translate(F.translate(kept, ".", ""), ",", "."))
-        .when(F.contains(kept, F.lit(".")), F.translate(kept, ",", ""))
-        .otherwise(kept)
-    )
-    pattern = r"^(-?)([0-9]+)(?:\.([0-9]{1,2}))?$"
-    return F.when(
-        plain.rlike(pattern),
-        _digits_to_minor(*(F.regexp_extract(plain, pattern, g) for g in (1, 2, 3))),
-    )
+
+    def plain(kept: Column) -> Column:
+        return (
+            F.when(kept.rlike(r",[^.]*$"), F.translate(F.translate(kept, ".", ""), ",", "."))
+            .when(F.contains(kept, F.lit(".")), F.translate(kept, ",", ""))
+            .otherwise(kept)
+        )
+
+    def minor(value: Column) -> Column:
+        pattern = r"^(-?)([0-9]+)(?:\.([0-9]{1,2}))?$"
+        return F.when(
+            value.rlike(pattern),
+            _digits_to_minor(*(F.regexp_extract(value, pattern, g) for g in (1, 2, 3))),
+        )
+
+    return let(F.regexp_replace(text, r"[^0-9,.\-]", ""), lambda kept: let(plain(kept), minor))

@@ -276,6 +276,66 @@ BINDINGS: dict[str, str] = {
         SELECT o_orderkey AS id, o_custkey % 25 AS budget_id, o_orderdate AS updated_at,
                CAST(round(o_totalprice * 200) AS BIGINT) AS spent_minor FROM orders""",
     "export_job": "SELECT event_id AS id, event_type AS type, CASE WHEN k < 50 THEN 'SUCCEEDED' ELSE 'FAILED' END AS status FROM keyed_event",
+    # Receipt, invoice and bank texts written from the orders, with recognition noise.
+    "receipt_parts": """
+        SELECT o_orderkey AS k, o_orderkey % 12 AS v, c_mktsegment AS seg, o_custkey AS cust,
+               CASE WHEN o_orderkey % 24 = 4 THEN '' ELSE
+                 lpad(CAST(day(o_orderdate) AS STRING), 2, '0') || CASE WHEN o_orderkey % 5 = 0 THEN '/' ELSE '.' END ||
+                 lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || CASE WHEN o_orderkey % 5 = 0 THEN '/' ELSE '.' END ||
+                 CAST(year(o_orderdate) AS STRING) END AS d,
+               lpad(CAST(o_orderkey % 24 AS STRING), 2, '0') || ':' || lpad(CAST(o_custkey % 60 AS STRING), 2, '0') AS clock,
+               CAST(floor(round(o_totalprice * 100) * 0.6E0) AS BIGINT) % 900000 + 100 AS a,
+               CAST(round(o_totalprice * 100) AS BIGINT) % 500000 + 100 AS b,
+               CAST(round(o_totalprice * 3) AS BIGINT) % 70000 AS tax
+        FROM orders JOIN customer ON o_custkey = c_custkey""",
+    "receipt_money": """
+        SELECT k, v, seg, cust, d, clock, a, b, tax,
+               CAST(CAST(floor(a / 100.0) AS BIGINT) AS STRING) || ',' || lpad(CAST(a % 100 AS STRING), 2, '0') AS ma,
+               CAST(CAST(floor(b / 100.0) AS BIGINT) AS STRING) || '.' || lpad(CAST(b % 100 AS STRING), 2, '0') AS mb,
+               CAST(CAST(floor((a + b) / 100.0) AS BIGINT) AS STRING) || ',' || lpad(CAST((a + b) % 100 AS STRING), 2, '0') AS msub,
+               CAST(CAST(floor(tax / 100.0) AS BIGINT) AS STRING) || ',' || lpad(CAST(tax % 100 AS STRING), 2, '0') AS mtax,
+               CAST(CAST(floor((a + b + tax) / 100.0) AS BIGINT) AS STRING) || ',' ||
+                 lpad(CAST((a + b + tax) % 100 AS STRING), 2, '0') AS mt
+        FROM receipt_parts""",
+    "receipt": """
+        SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN 'CUSTOM_CRNN' ELSE 'TESSERACT' END AS engine,
+               CASE WHEN k % 4 = 0 THEN CAST(0.0 AS DOUBLE) ELSE (k % 83) / 82.0E0 END AS confidence, v,
+               CASE v
+               WHEN 0 THEN seg || ' MARKET LTD' || chr(10) || 'TARIH: ' || d || ' SAAT: ' || clock || chr(10) || 'FIS NO: 00' || CAST(k AS STRING)
+                 || chr(10) || 'SUT 2 %10 ' || ma || chr(10) || 'Ekmek 3 x 5,00 ' || mb || chr(10) || 'ARA TOPLAM ' || msub || chr(10)
+                 || 'KDV ' || mtax || chr(10) || 'GENEL TOPLAM ' || mt || ' TL' || chr(10) || 'KREDI KARTI **** ' || lpad(CAST(cust % 10000 AS STRING), 4, '0')
+               WHEN 1 THEN 'FATURA NO: INV-' || CAST(k AS STRING) || chr(10) || 'Satici: ' || seg || ' A.S.' || chr(10) || 'VKN 1234567890' || chr(10)
+                 || 'Date ' || d || chr(10) || 'Hizmet bedeli ' || ma || ' TL' || chr(10) || 'Danismanlik 2 adet 10,00 ' || mb || chr(10)
+                 || 'Matrah ' || msub || chr(10) || 'KDV %18 ' || mtax || chr(10) || 'Toplam tutari ' || mt || chr(10) || 'USD'
+               WHEN 2 THEN 'ZIRAAT BANKASI' || chr(10) || 'HESAPTAN FAST' || chr(10) || 'ISLEM TARIHI ' || d || ' ' || clock || chr(10)
+                 || 'ISLEM TUTARI: ' || ma || ' TL' || chr(10) || 'KOMISYON 1,00 TL' || chr(10) || 'IBAN TR' || CAST(k AS STRING)
+               WHEN 3 THEN seg || ' MARKET' || chr(10) || 'FIS' || chr(10) || 'Tarih ' || d || chr(10) || 'Peynir 1O5,6O' || chr(10)
+                 || 'GENEL T0PLAM ' || replace(replace(mt, '0', 'O'), '1', 'I') || chr(10) || 'K0V ' || mtax || chr(10) || 'NAKIT'
+               WHEN 4 THEN 'Bakkal ' || seg || chr(10) || d || chr(10) || 'Fis' || chr(10) || 'Urun ' || ma || chr(10) || 'Indirim 1,00' || chr(10)
+                 || 'Ara toplam ' || msub || chr(10) || 'KDV ' || mtax || chr(10) || 'TOPLAM ' || ma || chr(10) || 'Para ustu 3,00'
+               WHEN 5 THEN 'E-ARSIV FATURA' || chr(10) || 'ETTN: abc-' || CAST(k AS STRING) || chr(10) || 'SENARYO: TEMEL' || chr(10) || d || chr(10)
+                 || 'Kablo ' || ma || chr(10) || 'Toplam ' || ma || ' EUR'
+               WHEN 6 THEN 'POS SLIP' || chr(10) || 'PROVIZYON: ' || CAST(k AS STRING) || chr(10) || d || ' ' || clock || chr(10) || 'TUTAR ' || ma || 'TL'
+                 || chr(10) || 'XX' || lpad(CAST(cust % 10000 AS STRING), 4, '0')
+               WHEN 7 THEN 'TAHSILAT MAKBUZU' || chr(10) || 'Odeme ' || d || chr(10) || 'Gonderilen tutar ' || mb || ' masraf 2,00' || chr(10) || 'Havale'
+               WHEN 8 THEN seg || chr(10) || 'Toplam 12' || CAST(k % 1000 AS STRING) || chr(10) || 'referans 99' || chr(10) || 'Market fis' || chr(10) || 'kdv'
+               WHEN 9 THEN 'aa11 bb ' || CAST(k AS STRING) || chr(10) || 'xx xx xx' || chr(10) || 'xx xx ' || ma || chr(10) || 'xx xx' || chr(10) || 'fis toplam'
+                 || chr(10) || 'xx' || chr(10) || 'xx xx' || chr(10) || 'xx xx' || chr(10) || 'xx'
+               WHEN 10 THEN '20240101.123456 islem ' || ma || chr(10) || 'Tutar islem no 123456' || chr(10) || 'Toplam referans 777' || chr(10) || d
+               ELSE 'Market ' || seg || chr(10) || 'Fis no 77' || CAST(k AS STRING) || chr(10) || 'Tarih 13' || '/25/2024' || chr(10) || d || ' kasa' || chr(10)
+                 || 'Elma  %08 ' || ma || chr(10) || chr(10) || chr(10) || chr(10) || 'KDV dahil toplam ' || ma || ' TRY' || chr(10) || 'sa4t ' || clock END AS text
+        FROM receipt_money""",
+    "ocr_text": """
+        SELECT doc_id, engine, confidence, text FROM receipt
+        UNION ALL SELECT doc_id + 1000000000000 AS doc_id, 'TESSERACT' AS engine, (n_chars % 100) / 100.0E0 AS confidence, text FROM documents""",
+    "field_patch": """
+        SELECT l_orderkey AS doc_id, l_partkey * 10 + l_linenumber AS patch_id, max(l_shipdate) AS patched_at,
+               CASE l_linenumber WHEN 1 THEN 'merchant' WHEN 2 THEN 'date' WHEN 3 THEN 'total_minor' WHEN 4 THEN 'tax_minor'
+                 WHEN 5 THEN 'payment_method' WHEN 6 THEN 'currency' ELSE 'document_type' END AS field,
+               max(CASE l_linenumber WHEN 1 THEN CASE WHEN l_partkey % 5 = 0 THEN '  ' ELSE 'Fixed ' || CAST(l_partkey AS STRING) END
+                 WHEN 2 THEN '2024-02-' || CAST(10 + l_partkey % 25 AS STRING) WHEN 3 THEN CAST(l_partkey * 7 AS STRING)
+                 WHEN 4 THEN NULL WHEN 5 THEN 'CASH' ELSE 'GBP' END) AS value
+        FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber""",
 }
 
 

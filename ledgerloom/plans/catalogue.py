@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("spend_queries", "lifecycle_queries", "operations_queries")
+MODULES = ("spend_queries", "lifecycle_queries", "operations_queries", "extraction_queries")
 
 
 def _load() -> None:
