@@ -67,3 +67,10 @@ def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def literal_rows(spark: SparkSession, column: str, values: tuple) -> DataFrame:
     """A fixed list as a one-column table (planned, not shipped from Python)."""
     return spark.range(1).select(F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
+
+
+def unnest(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """Array of structs to rows. A plain explode makes Spark add a filter on the
+    array and push it below, which evaluates the whole array expression again."""
+    rows = df.select(*keep, F.explode_outer(column).alias("__row"))
+    return rows.where(F.col("__row").isNotNull()).select(*keep, "__row.*")

@@ -384,4 +384,6 @@ def with_bindings(body: str, *ctes: str) -> str:
 
     visit(" ".join([*ctes, body]))
     parts = [f"{n} AS ({BINDINGS[n].strip()})" for n in ordered] + list(ctes)
+    # Named steps are computed once; inlining would repeat the text rules per use.
+    parts = [re.sub(r"(^|[,)]\s+)([a-z_0-9]+) AS \(SELECT", r"\1\2 AS MATERIALIZED (SELECT", p) for p in parts]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
