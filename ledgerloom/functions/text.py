@@ -89,8 +89,9 @@ def repair_mojibake(text: Column) -> Column:
 
 def clamp_round4(value: Column) -> Column:
     """Clamp to 0..1 and round half up to four decimals."""
+    # least and greatest skip nulls, so a missing value is kept apart.
     bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return F.floor(bounded * 10000 + F.lit(0.5)) / F.lit(10000.0)
+    return F.when(value.isNotNull(), F.floor(bounded * 10000 + F.lit(0.5)) / F.lit(10000.0))
 
 
 def fixed4(value: Column) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -336,9 +336,50 @@ BINDINGS: dict[str, str] = {
                  WHEN 2 THEN '2024-02-' || CAST(10 + l_partkey % 25 AS STRING) WHEN 3 THEN CAST(l_partkey * 7 AS STRING)
                  WHEN 4 THEN NULL WHEN 5 THEN 'CASH' ELSE 'GBP' END) AS value
         FROM lineitem GROUP BY l_orderkey, l_partkey, l_linenumber""",
+    # Every document cut into pieces of at most 80 characters; the Spark side is in EXPLODED.
+    "doc_line": """
+        SELECT doc_id * 100000 + no AS sample_id, doc_id, source, lang, no, text FROM (
+          SELECT doc_id, source, lang, generate_subscripts(ls, 1) - 1 AS no, trim(unnest(ls)) AS text
+          FROM (SELECT *, regexp_extract_all(regexp_replace(text, '[^ -~\n]', '?', 'g'), '[^\n.]{1,80}') AS ls FROM documents))
+        WHERE length(text) > 1""",
+    "prediction": """
+        SELECT sample_id, doc_id, source, 'alpha' AS engine, text AS reference, translate(text, 'rn', 'nr') AS prediction,
+               (sample_id * 37 % 101) / 100.0E0 AS confidence, sample_id % 900 AS latency_ms,
+               CASE WHEN sample_id % 50 = 0 THEN 'TIMEOUT' ELSE NULL END AS error_code
+        FROM doc_line
+        UNION ALL
+        SELECT sample_id, doc_id, source, 'beta' AS engine, text AS reference, replace(text, 'e', '') AS prediction,
+               CASE WHEN sample_id % 9 = 0 THEN NULL ELSE (sample_id * 53 % 97) / 96.0E0 END AS confidence,
+               sample_id % 400 AS latency_ms, CASE WHEN sample_id % 70 = 0 THEN 'EMPTY' ELSE NULL END AS error_code
+        FROM doc_line""",
+    "label_pair": """
+        SELECT CASE WHEN doc_id % 2 = 0 THEN 'run1' ELSE 'run2' END AS run, 'q' || CAST(quality AS STRING) || CAST(toxic AS STRING) AS actual,
+               CASE WHEN doc_id % 5 = 0 THEN 'q' || CAST(1 - quality AS STRING) || CAST(toxic AS STRING)
+                    WHEN doc_id % 11 = 0 THEN 'q' || CAST(quality AS STRING) || '9'
+                    ELSE 'q' || CAST(quality AS STRING) || CAST(toxic AS STRING) END AS predicted, doc_id
+        FROM labels""",
+    "manifest": """
+        SELECT sample_id AS id, source, doc_id, text,
+               CASE WHEN sample_id % 13 = 0 THEN ' ' ELSE 'img-' || CAST(doc_id AS STRING) END AS image,
+               sample_id % 17 <> 0 AS usable_for_training, CASE WHEN doc_id % 5 = 4 THEN 'validation' ELSE 'train' END AS split,
+               CAST(sample_id % 6 AS INT) AS hardcase_weight, no % 4 AS box_w
+        FROM doc_line""",
 }
 
 
+def _doc_lines(t: "Tables") -> DataFrame:
+    plain = F.regexp_replace("text", r"[^ -~\n]", "?")
+    cut = F.regexp_extract_all(plain, F.lit(r"[^\n.]{1,80}"), F.lit(0))
+    pieces = t.documents.select("doc_id", "source", "lang", F.posexplode(cut).alias("no", "text"))
+    return pieces.withColumn("text", F.trim("text")).where(F.length("text") > 1).select(
+        (F.col("doc_id") * 100000 + F.col("no")).alias("sample_id"), "doc_id", "source", "lang",
+        F.col("no").cast("long").alias("no"), "text",
+    )
+
+
+EXPLODED = {"doc_line": _doc_lines}
+
+
 class Tables:
     """Reads base tables and bindings of one data folder on demand."""
 
@@ -363,6 +404,8 @@ class Tables:
     def _load(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in EXPLODED:
+            return EXPLODED[name](self)
         return self.sql(BINDINGS[name])
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("spend_queries", "lifecycle_queries", "operations_queries", "extraction_queries")
+MODULES = ("extraction_queries", "quality_queries")
 
 
 def _load() -> None:
