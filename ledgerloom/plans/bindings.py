@@ -364,6 +364,16 @@ BINDINGS: dict[str, str] = {
                sample_id % 17 <> 0 AS usable_for_training, CASE WHEN doc_id % 5 = 4 THEN 'validation' ELSE 'train' END AS split,
                CAST(sample_id % 6 AS INT) AS hardcase_weight, no % 4 AS box_w
         FROM doc_line""",
+    "raw_box": """
+        SELECT l_orderkey AS doc_id, 'truth' AS kind, l_partkey * 10 + l_linenumber AS ord, 'xywh' AS format,
+               l_partkey % 400 AS a, (l_suppkey % 20) * 25 AS b, CAST(max(l_quantity) AS BIGINT) + 20 AS c, CAST(20 AS BIGINT) AS d
+        FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber
+        UNION ALL
+        SELECT l_orderkey AS doc_id, 'pred' AS kind, l_partkey * 10 + l_linenumber AS ord, 'xyxy' AS format,
+               l_partkey % 400 + l_linenumber AS a, (l_suppkey % 20) * 25 + l_linenumber - 3 AS b,
+               l_partkey % 400 + CAST(max(l_quantity) AS BIGINT) + 20 AS c,
+               (l_suppkey % 20) * 25 + CASE WHEN l_partkey % 9 = 0 THEN -9 ELSE 20 END AS d
+        FROM lineitem WHERE l_partkey % 6 <> 0 GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber""",
 }
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("extraction_queries", "quality_queries")
+MODULES = ("curation_queries", "category_queries")
 
 
 def _load() -> None:
