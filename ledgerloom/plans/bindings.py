@@ -374,6 +374,22 @@ BINDINGS: dict[str, str] = {
                l_partkey % 400 + CAST(max(l_quantity) AS BIGINT) + 20 AS c,
                (l_suppkey % 20) * 25 + CASE WHEN l_partkey % 9 = 0 THEN -9 ELSE 20 END AS d
         FROM lineitem WHERE l_partkey % 6 <> 0 GROUP BY l_orderkey, l_partkey, l_suppkey, l_linenumber""",
+    "message": """
+        SELECT event_id AS offset_id, ts AS received_at, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN '{"id": ' WHEN k = 3 THEN '{"topic":"expense.created"}'
+               ELSE '{"id":"e' || CAST(event_id % 6000 AS STRING) || '","topic":"' || CASE WHEN k = 4 THEN 'nope' ELSE 'expense.created' END ||
+                 '","tenantId":"t' || CAST(tenant_id AS STRING) || '","aggregateId":"a' || CAST(user_id AS STRING) || '","correlationId":"c"' ||
+                 CASE WHEN k = 5 THEN ',"schemaVersion":0' WHEN k = 6 THEN ',"schemaVersion":3' ELSE '' END || '}' END AS value
+        FROM keyed_event""",
+    "import_raw": """
+        SELECT o_orderkey % 900 AS batch_id, o_orderkey AS row_no, CASE WHEN o_orderkey % 701 = 0 THEN ' ' ELSE ' Trip ' END AS title,
+               CASE WHEN o_orderkey % 503 = 0 THEN '2024-13-40' ELSE '2024-01-' || lpad(CAST(1 + o_orderkey % 28 AS STRING), 2, '0') END AS date,
+               CASE WHEN o_orderkey % 401 = 0 THEN 'XXX' WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'EUR' END AS currency,
+               CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey AS STRING) ELSE NULL END AS amount_minor,
+               CASE WHEN o_orderkey % 601 = 0 THEN '12.345' ELSE CAST(o_custkey AS STRING) || CASE WHEN o_orderkey % 3 = 0 THEN ',5' ELSE '.25' END END AS amount,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 997 = 0 THEN 'abc' ELSE '-1.50' END AS tax,
+               CASE o_orderkey % 5 WHEN 0 THEN 'Evet' WHEN 1 THEN 'no' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE CASE WHEN o_orderkey % 811 = 0 THEN 'maybe' ELSE '1' END END AS reimbursable,
+               'hayir' AS business_expense
+        FROM orders""",
 }
 
 

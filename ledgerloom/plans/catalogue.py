@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("curation_queries", "category_queries")
+MODULES = ("stream_queries",)
 
 
 def _load() -> None:
