@@ -390,6 +390,21 @@ BINDINGS: dict[str, str] = {
                CASE o_orderkey % 5 WHEN 0 THEN 'Evet' WHEN 1 THEN 'no' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE CASE WHEN o_orderkey % 811 = 0 THEN 'maybe' ELSE '1' END END AS reimbursable,
                'hayir' AS business_expense
         FROM orders""",
+    "payload": """
+        SELECT o_orderkey AS payload_id, CASE o_orderkey % 5
+          WHEN 0 THEN 'https://q.example/r?firma=Shop+' || CAST(o_custkey AS STRING) || '&fisNo=F' || CAST(o_orderkey AS STRING) || '&tarih=0102' || '2024&tutar=12%2C50&vkn=1234567890&kart_son4=**4321'
+          WHEN 1 THEN '{"merchant":"Shop","receiptNo":"R' || CAST(o_orderkey AS STRING) || '","date":"2024-02-30","total":"10.00","kdv":"1.00","araToplam":"9.50","currency":"usd"}'
+          WHEN 2 THEN 'unvan: Kafe; toplam: ' || CAST(o_custkey AS STRING) || ',25; tarih: 3.4.24; saat: 9:05; odeme: nakit; vkn: 12'
+          WHEN 3 THEN 'garbage' ELSE '{"total":"abc","para birimi":"XYZ"}' END AS payload
+        FROM orders""",
+    "xml_payload": """
+        SELECT o_orderkey AS payload_id, CASE WHEN o_orderkey % 7 = 0 THEN '<Invoice><open>' ELSE
+          '<Invoice xmlns:cbc="urn:b" xmlns:cac="urn:a"><cbc:ID>INV' || CAST(o_orderkey AS STRING) || '</cbc:ID><cbc:IssueDate>2024-03-04</cbc:IssueDate><cbc:IssueTime>10:11:12</cbc:IssueTime>'
+          || '<cbc:DocumentCurrencyCode>EUR</cbc:DocumentCurrencyCode><cac:AccountingSupplierParty><cac:Party><cac:PartyName><cbc:Name>Seller ' || CAST(o_custkey AS STRING)
+          || '</cbc:Name></cac:PartyName><cac:PartyTaxScheme><cbc:CompanyID>1234567890</cbc:CompanyID></cac:PartyTaxScheme></cac:Party></cac:AccountingSupplierParty><cac:TaxTotal><cbc:TaxAmount>18.00</cbc:TaxAmount></cac:TaxTotal>'
+          || '<cac:LegalMonetaryTotal><cbc:LineExtensionAmount>100.00</cbc:LineExtensionAmount><cbc:TaxInclusiveAmount>118.00</cbc:TaxInclusiveAmount><cbc:PayableAmount>'
+          || CASE WHEN o_orderkey % 3 = 0 THEN '120.00' ELSE '118.00' END || '</cbc:PayableAmount></cac:LegalMonetaryTotal></Invoice>' END AS payload
+        FROM orders""",
 }
 
 

@@ -6,7 +6,10 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("stream_queries",)
+MODULES = (
+    "spend_queries", "lifecycle_queries", "operations_queries", "extraction_queries", "quality_queries",
+    "curation_queries", "category_queries", "stream_queries", "line_queries",
+)
 
 
 def _load() -> None:
