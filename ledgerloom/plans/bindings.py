@@ -420,6 +420,17 @@ def _doc_lines(t: "Tables") -> DataFrame:
 
 EXPLODED = {"doc_line": _doc_lines}
 
+# Text inputs whose rows are expensive to process, and the key that spreads them.
+SPREAD = {"documents": "doc_id", "receipt": "doc_id"}
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str, source_bytes: int) -> DataFrame:
+    """Use every core on an input of only a few file splits. Larger inputs have
+    enough splits of their own and are left alone, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if source_bytes < cores * SPLIT_BYTES else df
+
 
 class Tables:
     """Reads base tables and bindings of one data folder on demand."""
@@ -443,6 +454,14 @@ class Tables:
         return self.spark.sql(text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
 
     def _load(self, name: str) -> DataFrame:
+        df = self._read(name)
+        if name in SPREAD:
+            base = df if name in BASE else self.orders
+            size = int(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            return spread(df, SPREAD[name], size)
+        return df
+
+    def _read(self, name: str) -> DataFrame:
         if name in BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name in EXPLODED:
