@@ -242,7 +242,7 @@ def reading_order(box: DataFrame) -> DataFrame:
     """Boxes of a page by vertical centre, then left edge."""
     centre = F.col("y1") + F.floor((F.col("y2") - F.col("y1")) / 2)
     return groups.positions(
-        box.withColumn("__c", centre), ["doc_id", "kind"], [F.asc("__c"), F.asc("x1"), F.asc("ord")],
+        box.withColumn("__c", centre), ["doc_id", "kind"], [F.asc(c) for c in ("__c", "x1", "ord", "x2", "y2")],
         [F.floor(F.col("__c") / 64)], "reading_position",
     ).drop("__c")
 

@@ -157,7 +157,7 @@ def _(t):
 
 
 @query("reading_order", with_bindings(
-    "SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY y1 + (y2 - y1) // 2, x1, ord) AS reading_position FROM box", BOX))
+    "SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY y1 + (y2 - y1) // 2, x1, ord, x2, y2) AS reading_position FROM box", BOX))
 def _(t):
     return cu.reading_order(cu.normalise_boxes(t.raw_box))
 
