@@ -123,9 +123,15 @@ PAIR_FEATURES = [f"{c}_{s}" for c in ("champion", "challenger") for s in ("lengt
 
 
 def router_train(pair: DataFrame, folds: int = 5) -> DataFrame:
-    """Out-of-fold probability that the challenger is better, folds by document."""
-    rows = pair.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int")).withColumn(
-        "label", (F.col("challenger_cer") + 0.02 < F.col("champion_cer")).cast("double"))
+    """Out-of-fold probability that the challenger is better, folds by document.
+
+    The fits read the features many times, so the numbers alone are kept; lost
+    blocks are recomputed."""
+    rows = pair.select(
+        "doc_id", "champion_cer", "challenger_cer", *PAIR_FEATURES,
+        F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"),
+        (F.col("challenger_cer") + 0.02 < F.col("champion_cer")).cast("double").alias("label"),
+    ).persist()
     scored = None
     for fold in range(folds):
         model = Pipeline(stages=[
