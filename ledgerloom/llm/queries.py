@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, quality_rules, token_counts, token_store
+from ledgerloom.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_model, quality_rules, token_counts, token_store
 from ledgerloom.llm.common import read_table
 
 
@@ -34,13 +35,42 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_layout(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    text = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in every document."""
     docs, benchmark = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark")
     return decontaminate.report(decontaminate.decontaminate(docs, benchmark))
 
 
-QUERIES = (op1_token_counts, op2_bpe_round_trip, op3_quality_rules, op4_token_store, op6_decontaminate)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, removed lines and a digest of the rest of every document."""
+    return line_dedup.report(line_dedup.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a model of the labelled ones."""
+    return quality_model.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return language_id.languages(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_token_counts, op2_bpe_round_trip, op3_quality_rules, op4_token_store, op5_html_text,
+    op6_decontaminate, op7_line_dedup, op8_quality_classifier, op9_jaccard_join, op10_language_id,
+)
 
 
 def queries() -> dict:
