@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import let, lower_ascii, slices, stored, without, words_of
+from ledgerloom.llm.common import among, let, lower_ascii, slices, stored, without, words_of
 from ledgerloom.llm.quality_model import rows_of
 
 #: Words of a shingle, similarity in hundredths, groups of a count vector.
@@ -175,29 +175,6 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(check, "a long, b long")
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less most rows whose ``doc_id`` is not in ``ids``: a bitmap of id hashes, at most 64 MiB.
-
-    Rows that stay by chance are dropped by the join that follows; the bitmap only spares shuffling texts."""
-    bits = 1 << min(29, max(15, (8 * ids.count()).bit_length()))
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    rows = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("map")).collect()
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for row in rows:
-        own = np.frombuffer(bytes(row["map"]), np.uint8)
-        bitmap[row["part"] * 4096 : row["part"] * 4096 + len(own)] = own
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def known(places):
-        import pandas as pd
-
-        p = places.to_numpy(np.int64)
-        return pd.Series((shared.value[p >> 3] >> (p & 7)) & 1 == 1)
-
-    return docs.where(known(at))
-
-
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose sets truly reach the similarity, by an exact intersection."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import let, slices, stored, without
+from ledgerloom.llm.common import among, let, slices, stored, without
 
 #: Shorter lines are never duplicates: one edit would mean too much there.
 MIN_CHARS = 20
@@ -132,7 +132,8 @@ def near_pairs(spread: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The lines (``doc_id``, ``place``) whose earlier partner is truly within one edit."""
     line = lambda place: F.get(split_lines(F.col("text")), place)
-    texts = docs.select("doc_id", "text")
+    ids = pairs.select(F.explode(F.array("doc_id", "other.doc_id")).alias("doc_id")).distinct()
+    texts = among(docs.select("doc_id", "text"), ids)
     own = texts.join(pairs, "doc_id").select(F.col("doc_id").alias("id__"), F.col("place").alias("place__"), line(F.col("place")).alias("own__"), F.col("other.doc_id").alias("doc_id"), F.col("other.place").alias("place"))
     both = texts.join(own, "doc_id").select("id__", "place__", "own__", line(F.col("place")).alias("other__"))
     return both.where(F.levenshtein("own__", "other__", 1) >= 0).select(F.col("id__").alias("doc_id"), F.col("place__").alias("place")).distinct()
@@ -152,7 +153,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = stored(distinct_lines(known), "distinct-lines")
     spread = variants(known, candidates(lines))
-    gone = stored(verified(known, near_pairs(stored(spread, "neighbours"))), "near-lines")
+    pairs = stored(near_pairs(stored(spread, "neighbours")), "line-pairs")
+    gone = stored(verified(known, pairs), "near-lines")
     # the places of a document are no more than its lines
     keep = lines.join(gone, ["doc_id", "place"], "left_anti").groupBy("doc_id").agg(F.collect_set("place").alias("keep__"))
     joined = docs.join(keep.withColumnRenamed("doc_id", "id__"), F.col("doc_id") == F.col("id__"), "left").drop("id__")

@@ -40,6 +40,8 @@ class ByteSplitter:
 
     #: Characters or places where a blank-led chunk is not cut from its neighbours by the pattern alone.
     irregular = re.compile(UNCOMMON.pattern + r"|[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u2000-\u200a\u2028\u2029\u202f\u205f]|[ \n][ \n]|[ \n]\Z")
+    #: A stop or comma that may belong to the pre-token before it.
+    joined = re.compile(r"[^a-zA-Z0-9\n\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,]")
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
@@ -47,10 +49,16 @@ class ByteSplitter:
         self.cut, self.added = special_splitter(tokenizer)
 
     def chunks(self, segment: str) -> list[str] | None:
-        """Runs between blanks, each with its leading blank, and line ends: no pre-token spans two of them."""
+        """Runs between blanks, each with its leading blank, and line ends: no pre-token spans two of them.
+
+        A stop or comma behind a letter or digit begins a chunk of its own, as it begins a pre-token."""
         if self.irregular.search(segment):
             return None
-        return segment.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        cut = segment.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
+        return (cut if self.joined.search(segment) else cut.replace(".", "\x00.").replace(",", "\x00,")).split("\x00")
+
+    def chunk_pieces(self, chunk: str) -> list[str]:
+        return self.find(chunk)
 
     def pieces(self, segment: str) -> list[str]:
         if not UNCOMMON.search(segment):
@@ -73,6 +81,9 @@ class WordSplitter:
         """Runs between white space: no word and no composed letter spans two of them."""
         return None if self.irregular.search(segment) else segment.split()
 
+    def chunk_pieces(self, chunk: str) -> list[str]:
+        return self.find(unicodedata.normalize("NFC", chunk).lower())
+
     def pieces(self, segment: str) -> list[str]:
         if not UNCOMMON.search(segment):
             return self.find(unicodedata.normalize("NFC", segment).lower())
@@ -111,12 +122,12 @@ class PieceTable:
         if len(self.of_piece) + len(self.of_chunk) > self.limit + len(self.fixed):
             self.forget()
         plans = [self.plan(t) for t in texts]
-        chunks = {c for plan in plans for table, items in plan if table is self.of_chunk for c in items} - self.of_chunk.keys()
-        split = {c: self.splitter.pieces(c) for c in chunks}
+        chunks = set().union(*(items for plan in plans for table, items in plan if table is self.of_chunk)) - self.of_chunk.keys()
+        split = dict(zip(chunks, map(self.splitter.chunk_pieces, chunks), strict=True))
         pieces = {p for plan in plans for table, items in plan if table is self.of_piece for p in items}
         pieces.update(*split.values())
         new = list(pieces - self.of_piece.keys())
         self.of_piece.update(zip(new, self.encode(new), strict=True))
         piece = self.of_piece.__getitem__
-        self.of_chunk.update((c, self.join(map(piece, ps))) for c, ps in split.items())
+        self.of_chunk.update((c, piece(ps[0]) if len(ps) == 1 else self.join(map(piece, ps))) for c, ps in split.items())
         return [self.join([items if table is None else self.join(map(table.__getitem__, items)) for table, items in plan]) for plan in plans]
