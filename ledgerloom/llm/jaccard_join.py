@@ -65,7 +65,7 @@ def count_sketch(sets: DataFrame, cells: int) -> np.ndarray:
         return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()])})
 
     parts = sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    return np.concatenate([np.frombuffer(bytes(r["counts"]), "<u4") for r in sorted(parts, key=lambda r: r["part"])])
+    return np.concatenate([np.frombuffer(bytes(r["counts"]), "<u4") for r in sorted(parts, key=lambda r: r["part"])] or [np.zeros(cells, np.uint32)])
 
 
 def points(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
