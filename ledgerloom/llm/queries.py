@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_model, quality_rules, token_counts, token_store
+from ledgerloom.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, oracles, quality_model, quality_rules, token_counts, token_store
 from ledgerloom.llm.common import read_table
 
 
@@ -78,7 +78,7 @@ def queries() -> dict:
 
 
 #: SQL for the operators that it can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_quality_rules": oracles.OP3, "op6_decontaminate": oracles.OP6, "op9_jaccard_join": oracles.OP9}
 
 
 def oracle_sql() -> dict[str, str]:
