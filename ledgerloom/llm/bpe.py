@@ -82,11 +82,11 @@ class Merges:
         return merged[stays], owner[stays], (symbols[~live], owner[~live])
 
 
-def id_table(definition: bytes, splitter=WordSplitter, width: int = 4) -> PieceTable:
+def id_table(definition: bytes, splitter=WordSplitter, width: int = 4, limit: int = 500_000) -> PieceTable:
     """A worker's table from words to serialized ids of ``width`` bytes; added tokens keep their own id."""
     merges = Merges(definition)
     encode = merges.encode if width == 4 else lambda words: [np.frombuffer(b, "<u4").astype(f"<u{width}").tobytes() for b in merges.encode(words)]
-    return PieceTable(splitter(Tokenizer.from_str(definition.decode("utf-8"))), encode, b"".join, lambda i: i.to_bytes(width, "little"))
+    return PieceTable(splitter(Tokenizer.from_str(definition.decode("utf-8"))), encode, b"".join, lambda i: i.to_bytes(width, "little"), limit=limit)
 
 
 def token_texts(definition: bytes) -> list[str]:

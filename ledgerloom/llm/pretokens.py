@@ -98,7 +98,7 @@ class PieceTable:
     ``encode`` gives the values of new pre-tokens, ``join`` the value of a sequence, ``special`` that of an
     added token. ``fixed`` values stay; all others are forgotten when more than ``limit`` are held."""
 
-    def __init__(self, splitter, encode, join, special, fixed: dict | None = None, limit: int = 1_500_000):
+    def __init__(self, splitter, encode, join, special, fixed: dict | None = None, limit: int = 1_200_000):
         self.splitter, self.encode, self.join, self.special = splitter, encode, join, special
         self.fixed, self.limit = fixed or {}, limit
         self.forget()

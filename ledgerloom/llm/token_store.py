@@ -29,6 +29,8 @@ from ledgerloom.llm.pretokens import ByteSplitter
 
 #: Bytes of frames in a chunk, at least one document.
 CHUNK = 1 << 20
+#: Values that a worker remembers while it writes.
+CACHE = 1_200_000
 #: Documents that train the dictionary (a bounded sample by a hash of the id) and the dictionary's bytes.
 TRAIN_DOCS, DICT_BYTES = 1_000, 64 * 1024
 
@@ -69,7 +71,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     shared = spark.sparkContext.broadcast((definition, dictionary))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = worker_copy("store", digest, lambda: id_table(shared.value[0], ByteSplitter, width)), end_id.to_bytes(width, "little")
+        table, end = worker_copy("store", digest, lambda: id_table(shared.value[0], ByteSplitter, width, CACHE)), end_id.to_bytes(width, "little")
         options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         compressor = zstandard.ZstdCompressor(level=level, write_checksum=False, **options)
         shard, start, done, ids, counts, frames = TaskContext.get().partitionId(), 0, 0, [], [], []
