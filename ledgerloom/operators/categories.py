@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    CountVectorizer, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler,
+    HashingTF, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -57,7 +57,7 @@ def category_features(sample: DataFrame) -> DataFrame:
     return sample.withColumn("features_text", text)
 
 
-def category_train(sample: DataFrame, label: str = "category_id"):
+def category_train(sample: DataFrame, label: str = "category_id", dimensions: int = 1 << 16, iterations: int = 400):
     """TF-IDF over words and word pairs, class-balanced logistic regression."""
     rows = sample.where(F.col(label).isNotNull())
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
@@ -70,12 +70,13 @@ def category_train(sample: DataFrame, label: str = "category_id"):
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
         RegexTokenizer(inputCol="features_text", outputCol="w1", pattern=r"[^\p{L}\p{N}_]+"),
         NGram(inputCol="w1", outputCol="w2", n=2),
-        CountVectorizer(inputCol="w1", outputCol="c1", vocabSize=20_000),
-        CountVectorizer(inputCol="w2", outputCol="c2", vocabSize=20_000),
+        # hashed counts: no word is left out and no vocabulary is gathered
+        HashingTF(inputCol="w1", outputCol="c1", numFeatures=dimensions),
+        HashingTF(inputCol="w2", outputCol="c2", numFeatures=dimensions),
         VectorAssembler(inputCols=["c1", "c2"], outputCol="c"),
         IDF(inputCol="c", outputCol="t"),
         Normalizer(inputCol="t", outputCol="features"),
-        LogisticRegression(weightCol="class_weight", maxIter=20, regParam=0.01),
+        LogisticRegression(weightCol="class_weight", maxIter=iterations, regParam=0.01),
     ]
     return Pipeline(stages=stages).fit(weighted)
 

@@ -76,9 +76,9 @@ def hardcase_mining(manifest: DataFrame) -> DataFrame:
     reasons = hardcase_reasons(F.col("text"), F.col("source"), F.col("field_keys"))
     rows = usable_rows(manifest).withColumn("reasons", reasons).where(F.size("reasons") > 0)
     weight = F.least(F.lit(4), 1 + F.floor(F.size("reasons") / 2)).cast("int")
-    return rows.dropDuplicates(["id"]).select(
-        F.concat(F.col("id").cast("string"), F.lit(":hardcase")).alias("id"), "source", "split", "text", "reasons",
-        weight.alias("weight"),
+    first = rows.groupBy("id").agg(F.min(F.struct("source", "split", "text", "reasons", weight.alias("weight"))).alias("row"))
+    return first.select("id", "row.*").select(
+        F.concat(F.col("id").cast("string"), F.lit(":hardcase")).alias("id"), "source", "split", "text", "reasons", "weight",
     )
 
 

@@ -499,27 +499,20 @@ def field_fusion(extracted: DataFrame) -> DataFrame:
 
 
 def pairwise_similarity(run: DataFrame) -> DataFrame:
-    """Mean text similarity over the engine pairs of a document.
+    """Mean text similarity over all pairs of runs of a document, whatever their engines.
 
-    The engines are a short fixed list, so the pairs are columns of one pivoted
-    row instead of a self join."""
-    from itertools import combinations
-
-    engines = ("CUSTOM_CRNN", "ENSEMBLE", "TESSERACT")
+    The runs of a document are few; they are one array and the pairs stay inside its row."""
     squeezed = F.trim(F.regexp_replace("text", r"\s+", " "))
-    wide = run.where(F.col("engine").isin(*engines)).groupBy("doc_id").agg(
-        *[F.max(F.when(F.col("engine") == e, squeezed)).alias(e) for e in engines]
-    )
+    runs = run.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.sort_array(F.collect_list(squeezed)).alias("runs"))
 
-    def similarity(a: str, b: str) -> Column:
+    def similarity(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))
-        alike = clamp_round4(F.lit(1.0) - F.try_divide(F.levenshtein(a, b), longest))
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        return F.when(both, F.when(longest == 0, 1.0).otherwise(alike))
+        return F.when(longest == 0, 1.0).otherwise(clamp_round4(F.lit(1.0) - F.try_divide(F.levenshtein(a, b), longest)))
 
-    scores = F.filter(F.array(*[similarity(a, b) for a, b in combinations(engines, 2)]), lambda s: s.isNotNull())
+    later = lambda i: F.slice("runs", i + 2, 1 << 30)
+    scores = F.flatten(F.transform("runs", lambda a, i: F.transform(later(i), lambda b: similarity(a, b))))
     mean = F.when(F.size("s") > 0, F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"))
-    return wide.select("doc_id", scores.alias("s")).select("doc_id", F.round(mean, 6).alias("similarity"))
+    return runs.select("doc_id", scores.alias("s")).select("doc_id", F.round(mean, 6).alias("similarity"))
 
 
 # Words that mark a plausible receipt.

@@ -165,21 +165,24 @@ def report_totals(expense: DataFrame, kind: str) -> DataFrame:
 def budget_match(expense: DataFrame, budget: DataFrame) -> DataFrame:
     """Budget × expense rows: same workspace and currency, and the budget's
     category when it has one. Two equi joins replace the OR condition; budgets
-    without any expense stay, with a null expense."""
+    without any expense stay, with a null expense. The joins are inner, so Spark may
+    split a hot workspace on the expense side or broadcast the budgets; what has no
+    match is found among the distinct keys of the expenses."""
     b = budget.select(
         F.col("id").alias("budget_id"), "workspace_id", "currency", F.col("category_id").alias("budget_category_id")
     )
     e = active(expense).select(
         F.col("id").alias("expense_id"), "workspace_id", "currency", "category_id", "amount_minor", "occurred_at"
     )
-    whole = b.where(F.col("budget_category_id").isNull()).join(e, ["workspace_id", "currency"], "left")
-    scoped = (
-        b.where(F.col("budget_category_id").isNotNull())
-        .withColumn("category_id", F.col("budget_category_id"))
-        .join(e, ["workspace_id", "currency", "category_id"], "left")
-    )
     columns = ["budget_id", "workspace_id", "currency", "expense_id", "amount_minor", "occurred_at"]
-    return whole.select(*columns).unionByName(scoped.select(*columns))
+
+    def matched(budgets: DataFrame, keys: list[str]) -> DataFrame:
+        lonely = budgets.join(e.select(*keys).distinct(), keys, "left_anti").select(*columns[:3], *[F.lit(None).cast(e.schema[c].dataType).alias(c) for c in columns[3:]])
+        return e.join(budgets, keys).select(*columns).unionByName(lonely)
+
+    whole = matched(b.where(F.col("budget_category_id").isNull()), ["workspace_id", "currency"])
+    scoped = b.where(F.col("budget_category_id").isNotNull()).withColumn("category_id", F.col("budget_category_id"))
+    return whole.unionByName(matched(scoped, ["workspace_id", "currency", "category_id"]))
 
 
 def budget_spend(expense: DataFrame, budget: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import EXACT
@@ -37,12 +39,16 @@ def export(df: DataFrame, report_type: str, path: str, manifest_path: str, month
 
 
 def merge_upsert(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Table after a keyed merge: updated rows replace, new rows join, others stay."""
+    """Table after a keyed merge: updated rows replace, new rows join, others stay.
+
+    Null keys match null keys. Of several updates of one key the largest row counts, so none multiplies rows."""
     values = [c for c in current.columns if c not in keys]
-    u = updates.select(*keys, *[F.col(c).alias(f"__{c}") for c in values], F.lit(True).alias("__hit"))
-    joined = current.join(u, keys, "full_outer")
-    return joined.select(
-        *keys, *[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in values])
+    one = updates.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__new")) if values else updates.select(*keys).distinct().withColumn("__new", F.struct())
+    u = one.select(*[F.col(k).alias(f"__{k}") for k in keys], "__new", F.lit(True).alias("__hit"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    joined = current.join(u, same, "full_outer")
+    hit = F.col("__hit").isNotNull()
+    return joined.select(*[F.when(hit, F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys], *[F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
 def with_manifest_key(rows: DataFrame) -> DataFrame:
