@@ -185,7 +185,8 @@ BINDINGS: dict[str, str] = {
         FROM keyed_event""",
     "inbox": """
         SELECT CASE WHEN k % 2 = 0 THEN 'ledger' ELSE 'search' END AS consumer_name, event_id % 4000 AS event_id, tenant_id,
-               event_type AS topic, CASE WHEN k % 8 = 0 THEN 'failed' ELSE 'processed' END AS status, ts AS received_at
+               event_type AS topic, CASE WHEN k % 8 = 0 THEN 'failed' ELSE 'processed' END AS status,
+               date_trunc('hour', ts) AS received_at, event_id AS record_offset
         FROM keyed_event""",
     "audit": """
         SELECT event_id AS id, tenant_id, user_id AS actor_user_id, event_type || '.' || CAST(k % 4 AS STRING) AS action,

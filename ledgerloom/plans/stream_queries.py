@@ -21,13 +21,15 @@ def _(t):
 
 
 @query("idempotent_inbox", with_bindings(
-    """SELECT consumer_name, event_id, received_at, received_at > min(received_at) OVER (PARTITION BY consumer_name, event_id) AS duplicate FROM inbox"""))
+    """SELECT consumer_name, event_id, received_at, record_offset,
+       row_number() OVER (PARTITION BY consumer_name, event_id ORDER BY received_at, record_offset) > 1 AS duplicate FROM inbox"""))
 def _(t):
-    return ev.inbox_record(t.inbox).select("consumer_name", "event_id", "received_at", "duplicate")
+    return ev.inbox_record(t.inbox).select("consumer_name", "event_id", "received_at", "record_offset", "duplicate")
 
 
 @query("outbox_publish", with_bindings(
-    """SELECT topic, aggregate_id AS key, '{"id":"' || id || '","topic":"' || topic || '","tenantId":"' || tenant_id || '","aggregateId":"' || aggregate_id || '"}' AS value, id AS event_id
+    """SELECT topic, aggregate_id AS key, '{"id":"' || id || '","topic":"' || topic || '","tenantId":"' || tenant_id || '","aggregateId":"' || aggregate_id
+      || '","schemaVersion":1,"correlationId":"' || id || '","payload":"{}"}' AS value, id AS event_id
     FROM outbox WHERE published_at IS NULL AND failure_reason IS NULL"""))
 def _(t):
     return ev.outbox_messages(t.outbox)

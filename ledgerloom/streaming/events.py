@@ -49,11 +49,12 @@ def parse_envelopes(messages: DataFrame) -> DataFrame:
     )
 
 
-def split_good_bad(batch: DataFrame, good_path: str, bad_path: str) -> None:
-    """``foreachBatch`` body: accepted events and quarantined messages."""
+def split_good_bad(batch: DataFrame, good_path: str, bad_path: str, batch_id: int = 0) -> None:
+    """``foreachBatch`` body: accepted events and quarantined messages. Each batch owns
+    a folder, which a replay writes anew, so nothing is doubled."""
     batch.persist()
-    batch.where(F.col("error_code").isNull()).write.mode("append").parquet(good_path)
-    batch.where(F.col("error_code").isNotNull()).write.mode("append").parquet(bad_path)
+    batch.where(F.col("error_code").isNull()).write.mode("overwrite").parquet(f"{good_path}/batch_id={batch_id}")
+    batch.where(F.col("error_code").isNotNull()).write.mode("overwrite").parquet(f"{bad_path}/batch_id={batch_id}")
     batch.unpersist()
 
 
@@ -64,11 +65,13 @@ def dedupe_within(stream: DataFrame, delay: str) -> DataFrame:
 
 def inbox_record(incoming: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Exact inbox: the first record of each (consumer, event) wins, repeats and
-    ids already stored are flagged. Winners come from an aggregate and a join,
-    so an id repeated a billion times is not sorted anywhere."""
+    ids already stored are flagged. Records received at once are ordered by their
+    ``record_offset``, or by a hash of the row where there is none. Winners come from
+    an aggregate and a join, so an id repeated a billion times is not sorted anywhere."""
     keys = ["consumer_name", "event_id"]
-    flagged = groups.attach(incoming, keys, F.min("received_at").alias("first_at"))
-    duplicate = F.col("received_at") > F.col("first_at")
+    order = F.struct("received_at", F.col("record_offset") if "record_offset" in incoming.columns else F.xxhash64(*incoming.columns).alias("record_offset"))
+    flagged = groups.attach(incoming, keys, F.min(order).alias("first_at"))
+    duplicate = order > F.col("first_at")
     if stored is not None:
         known = stored.select(*keys).distinct().withColumn("known", F.lit(True))
         flagged = flagged.join(known, keys, "left")
@@ -95,7 +98,9 @@ def outbox_messages(outbox: DataFrame, include_failed: bool = False) -> DataFram
     pending = F.col("published_at").isNull() & ~failed
     body = F.to_json(F.struct(
         F.col("id").cast("string").alias("id"), "topic", F.col("tenant_id").cast("string").alias("tenantId"),
-        F.col("aggregate_id").alias("aggregateId")))
+        F.col("aggregate_id").alias("aggregateId"), F.lit(1).alias("schemaVersion"),
+        (F.col("correlation_id") if "correlation_id" in outbox.columns else F.col("id")).cast("string").alias("correlationId"),
+        (F.col("payload") if "payload" in outbox.columns else F.lit("{}")).alias("payload")))
     return outbox.where(pending | failed if include_failed else pending).select(
         "topic", F.col("aggregate_id").alias("key"), body.alias("value"), F.col("id").alias("event_id"))
 

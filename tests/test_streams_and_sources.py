@@ -88,3 +88,22 @@ def test_export_writes_csv_and_manifest(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "manifest")).collect()[0].rows == 2
     sinks.write_manifests(df.withColumns({"level": F.lit("line"), "split": F.lit("train")}), str(tmp_path / "m"))
     assert (tmp_path / "m" / "manifest=line_train").is_dir()
+
+
+def test_published_events_pass_the_own_validation_and_a_replay_adds_nothing(spark, tmp_path):
+    rows = [(i, events.TOPICS[0], "t", f"a{i}", None, None) for i in range(5)]
+    outbox = spark.createDataFrame(rows, "id long, topic string, tenant_id string, aggregate_id string, published_at timestamp, failure_reason string")
+    parsed = events.parse_envelopes(events.outbox_messages(outbox).select("value"))
+    assert parsed.where("error_code is null").count() == 5
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    for _ in range(2):
+        events.split_good_bad(parsed, good, bad, batch_id=7)
+    assert spark.read.parquet(good).count() == 5
+
+
+def test_records_received_at_once_keep_one_first(spark):
+    from pyspark.sql import functions as F
+
+    incoming = spark.createDataFrame([("c", 1, 10), ("c", 1, 11), ("c", 2, 12)], "consumer_name string, event_id long, record_offset long").withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
+    flagged = {r["record_offset"]: r["duplicate"] for r in events.inbox_record(incoming).collect()}
+    assert flagged == {10: False, 11: True, 12: False}
