@@ -30,7 +30,7 @@ from ledgerloom.llm.pretokens import ByteSplitter
 #: Bytes of frames in a chunk, at least one document.
 CHUNK = 1 << 20
 #: Values that a worker remembers while it writes.
-CACHE = 1_200_000
+CACHE = 1_400_000
 #: Documents that train the dictionary (a bounded sample by a hash of the id) and the dictionary's bytes.
 TRAIN_DOCS, DICT_BYTES = 1_000, 64 * 1024
 
