@@ -104,11 +104,17 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int =
             for label, (index, value) in held:
                 leader.learn(index, value, label)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([leader.weights().astype("<f4").tobytes()])], names=["weights"])
+            learnt = leader.weights().astype(np.float32)
+            index = np.flatnonzero(learnt)
+            # a shard is counted by an index of its own, as one without any weight counts too
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(index, DIMENSIONS).astype(np.int32)), pa.array(np.append(learnt[index], 1).astype(np.float64))], names=["index", "weight"])
 
     shards = rows_used.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64(F.col("doc_id"), F.lit(7)), F.xxhash64("grams"))
-    fitted = [np.frombuffer(bytes(r["weights"]), "<f4").astype(float) for r in shards.mapInArrow(fit, "weights binary").collect()]
-    return np.mean(fitted, axis=0) if fitted else np.zeros(DIMENSIONS)
+    # summed by Spark: the driver gets one number per index at most, however many shards there are
+    summed = shards.mapInArrow(fit, "index int, weight double").groupBy("index").agg(F.sum("weight").alias("weight")).toArrow()
+    sums = np.zeros(DIMENSIONS + 1)
+    sums[summed.column("index").to_numpy()] = summed.column("weight").to_numpy()
+    return sums[:DIMENSIONS] / max(sums[DIMENSIONS], 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
