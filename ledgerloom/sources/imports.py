@@ -2,20 +2,46 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.money import CURRENCIES, parse_import_amount
 from ..functions.text import parse_flag
 
 
+IMPORT_COLUMNS = (
+    "title", "occurred_at", "date", "currency", "amount_minor", "amount", "tax_minor", "tax", "reimbursable", "business_expense",
+    "merchant", "merchant_name", "description",
+)
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of each file by its own header, numbered from 0; a ragged row is marked."""
+    for files in batches:
+        for file, content in zip(files["batch_id"], files["value"]):
+            rows = (r for r in csv.reader(io.StringIO(content.removeprefix("\ufeff"), newline="")) if r)
+            header = [name.strip().lower() for name in next(rows, [])]
+            found = [(dict(zip(header, cells)), len(cells) != len(header)) for cells in rows]
+            out = pd.DataFrame({name: [cells.get(name) for cells, _ in found] for name in IMPORT_COLUMNS}, dtype=object)
+            out["parse_failed"] = [ragged for _, ragged in found]
+            out.insert(0, "row_no", range(len(found)))
+            out.insert(0, "batch_id", file)
+            yield out
+
+
 def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, lower-case headers, one batch per file.
+    """The import columns as text, one batch per file, whatever the order of its columns.
 
-    Row numbers follow the file, so each file is read as one split."""
-    raw = spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, ignoreLeadingWhiteSpace=True)
-    lowered = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    row_no = F.monotonically_increasing_id() % F.lit(1 << 33)
-    return lowered.withColumns({"batch_id": F.input_file_name(), "row_no": row_no})
+    An import is one uploaded file with a header of its own, so a file is read whole and
+    numbered by itself; files are spread over the cluster. ``parse_failed`` marks rows
+    with more or fewer cells than the header."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("batch_id"), "value")
+    columns = ", ".join(f"{name} string" for name in IMPORT_COLUMNS)
+    return files.mapInPandas(_records, f"batch_id string, row_no long, {columns}, parse_failed boolean")
 
 
 def _field(df: DataFrame, *names: str) -> Column:
@@ -34,10 +60,12 @@ def validate_import(raw: DataFrame) -> DataFrame:
     typed = raw.select(
         "batch_id", "row_no", col("title").alias("title"), when.alias("occurred_at"),
         F.coalesce(col("currency"), F.lit("TRY")).alias("currency"), amount.alias("amount_minor"), tax.alias("tax_minor"),
+        F.coalesce(F.col("parse_failed"), F.lit(False)).alias("parse_failed") if "parse_failed" in raw.columns else F.lit(False).alias("parse_failed"),
         parse_flag(col("reimbursable")).alias("reimbursable"), parse_flag(col("business_expense")).alias("business_expense"),
         col("merchant", "merchant_name").alias("merchant_name"), col("description").alias("description"),
     )
     checks = (
+        ("row", "CSV_PARSE_FAILED", F.col("parse_failed")),
         ("title", "TITLE_REQUIRED", F.col("title").isNull()), ("occurred_at", "VALID_DATE_REQUIRED", F.col("occurred_at").isNull()),
         ("currency", "INVALID_CURRENCY", ~F.col("currency").isin(*CURRENCIES)),
         ("amount", "VALID_AMOUNT_REQUIRED", F.col("amount_minor").isNull()),
@@ -46,7 +74,7 @@ def validate_import(raw: DataFrame) -> DataFrame:
         ("business_expense", "INVALID_BOOLEAN", F.col("business_expense").isNull()),
     )
     errors = F.array(*[F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(c).alias("code"))) for f, c, bad in checks])
-    return typed.withColumn("errors", F.filter(errors, lambda e: e.isNotNull()))
+    return typed.withColumn("errors", F.filter(errors, lambda e: e.isNotNull())).drop("parse_failed")
 
 
 def import_errors(validated: DataFrame) -> DataFrame:
@@ -120,10 +148,12 @@ def read_box_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~F.col("bad") & (F.col("text") != "")).drop("bad")
 
 
-def file_inventory(spark: SparkSession, path: str, checksum_cap: int = 50 * 1024 * 1024) -> DataFrame:
-    """File count, bytes, split mix and a combined checksum per folder below ``path``."""
+def file_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """File count, bytes, split mix and combined checksums per folder below ``path``.
+
+    Every file is digested; equal files cancel in the xor, not in the sum."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    digest = F.when(F.col("length") <= checksum_cap, F.sha2("content", 256))
+    digest = F.sha2("content", 256)
     lower = F.lower("path")
     split = F.when(lower.rlike("/(validation|valid|val|dev)/"), "validation").when(lower.rlike("/test/"), "test").when(
         lower.rlike("/train(ing)?/"), "train").otherwise("unsplit")
@@ -132,4 +162,5 @@ def file_inventory(spark: SparkSession, path: str, checksum_cap: int = 50 * 1024
                         F.regexp_extract("path", "[^/]+$", 0).alias("name"))
     return rows.groupBy("dataset", "split").agg(
         F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count("sha").alias("hashed"),
-        F.bit_xor(F.xxhash64("name", "sha")).alias("fingerprint"))
+        F.bit_xor(F.xxhash64("name", "sha")).alias("fingerprint"),
+        F.sum(F.xxhash64("name", "sha").cast("decimal(38,0)")).cast("string").alias("fingerprint_sum"))

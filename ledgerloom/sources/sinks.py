@@ -33,9 +33,15 @@ def manifest_row(df: DataFrame, report_type: str, path: str, month: str | None =
 
 
 def export(df: DataFrame, report_type: str, path: str, manifest_path: str, month: str | None = None) -> None:
-    """Write a report, then append its manifest row."""
+    """Write a report, then append the manifest row of what was written: its rows and
+    checksums read back from the files, their bytes and a digest over the part digests."""
     write_csv(df, path)
-    manifest_row(df, report_type, path, month).write.mode("append").parquet(manifest_path)
+    spark = df.sparkSession
+    written = spark.read.csv(path, header=True, multiLine=True, escape='"', schema=", ".join(f"`{c}` string" for c in df.columns))
+    parts = spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256).alias("sha"))
+    # One digest per part file.
+    whole = parts.agg(F.sum("length").alias("bytes"), F.sha2(F.array_join(F.sort_array(F.collect_list("sha")), ""), 256).alias("sha256"))
+    manifest_row(written, report_type, path, month).join(whole).write.mode("append").parquet(manifest_path)
 
 
 def merge_upsert(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import groups
@@ -79,17 +80,24 @@ def inbox_record(incoming: DataFrame, stored: DataFrame | None = None) -> DataFr
     return flagged.withColumn("duplicate", duplicate).drop("first_at", "known")
 
 
-def append_new(batch: DataFrame, inbox_path: str) -> None:
-    """``foreachBatch`` body for the exact inbox table. A replayed batch adds nothing."""
-    spark = batch.sparkSession
+def append_new(batch: DataFrame, inbox_path: str, buckets: int = 256) -> None:
+    """``foreachBatch`` body for the exact inbox table. A replayed batch adds nothing.
+
+    The inbox is partitioned by a hash bucket of its key. A batch reads the buckets it
+    has keys of and keeps the stored rows of those keys only."""
+    spark, keys = batch.sparkSession, ["consumer_name", "event_id"]
+    keyed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    stored = None
     try:
-        stored = spark.read.parquet(inbox_path)
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
+        inbox = spark.read.parquet(inbox_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no table
             raise
-        stored = None
-    fresh = inbox_record(batch, stored).where(~F.col("duplicate")).drop("duplicate")
-    fresh.dropDuplicates(["consumer_name", "event_id"]).write.mode("append").parquet(inbox_path)
+    else:
+        hit = [r["bucket"] for r in keyed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        stored = inbox.where(F.col("bucket").isin(hit)).join(batch.select(*keys).distinct(), keys, "left_semi")
+    fresh = inbox_record(keyed, stored).where(~F.col("duplicate")).drop("duplicate")
+    fresh.dropDuplicates(keys).write.mode("append").partitionBy("bucket").parquet(inbox_path)
 
 
 def outbox_messages(outbox: DataFrame, include_failed: bool = False) -> DataFrame:

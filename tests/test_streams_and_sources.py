@@ -107,3 +107,27 @@ def test_records_received_at_once_keep_one_first(spark):
     incoming = spark.createDataFrame([("c", 1, 10), ("c", 1, 11), ("c", 2, 12)], "consumer_name string, event_id long, record_offset long").withColumn("received_at", F.lit("2024-01-01").cast("timestamp"))
     flagged = {r["record_offset"]: r["duplicate"] for r in events.inbox_record(incoming).collect()}
     assert flagged == {10: False, 11: True, 12: False}
+
+
+def test_import_files_have_their_own_header_and_numbers(spark, tmp_path):
+    folder = tmp_path / "imports"
+    folder.mkdir()
+    (folder / "a.csv").write_text("title,date,amount,currency\nA,2024-01-02,1.50,EUR\n\"B\nb\",2024-01-02,2.50,EUR\n")
+    (folder / "b.csv").write_text("Title,currency,amount,date\nC,EUR,3.50,2024-01-02\nD,EUR\n")
+    rows = imports.validate_import(imports.read_import_csv(spark, str(folder)))
+    found = {(r["batch_id"][-5:], r["row_no"]): r for r in rows.collect()}
+    assert sorted(found) == [("a.csv", 0), ("a.csv", 1), ("b.csv", 0), ("b.csv", 1)]
+    good = [found["a.csv", 0], found["a.csv", 1], found["b.csv", 0]]
+    assert [(r["title"], r["amount_minor"], r["currency"]) for r in good] == [("A", 150, "EUR"), ("B\nb", 250, "EUR"), ("C", 350, "EUR")]
+    assert "CSV_PARSE_FAILED" in [e["code"] for e in found["b.csv", 1]["errors"]]
+    status = {r["batch_id"][-5:]: r["status"] for r in imports.import_batches(rows).collect()}
+    assert status["b.csv"] == "FAILED"
+
+
+def test_inbox_replay_adds_nothing(spark, tmp_path):
+    inbox = str(tmp_path / "inbox")
+    batch = spark.sql("SELECT 'c' AS consumer_name, 'e' || CAST(id % 7 AS STRING) AS event_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS received_at, id AS record_offset FROM range(20)")
+    for _ in range(2):
+        events.append_new(batch, inbox)
+    stored = spark.read.parquet(inbox).collect()
+    assert sorted((r["event_id"], r["record_offset"]) for r in stored) == [(f"e{i}", i) for i in range(7)]
