@@ -157,27 +157,42 @@ def hash_order(seed: int, kind: str, *columns: str) -> Column:
 def source_balanced_sample(rows: DataFrame, target: int, seed: int) -> DataFrame:
     """About equal shares per source, topped up from the overflow.
 
-    Hash order replaces a random shuffle, so the choice is repeatable. Ranks are
-    counted per hash bucket first; a source with a third of all rows is never
-    sorted in one task."""
-    order = hash_order(seed, "row", "id")
-    hashed = rows.withColumn("__h", order)
-    coarse = [F.substring("__h", 1, 2), F.substring("__h", 1, 4)]
-    sized = rows.groupBy("source").agg(F.count(F.lit(1)).alias("__size"))
+    Hash order replaces a random shuffle, so the choice is repeatable. A histogram of
+    65,536 hash buckets per source gives, before any row moves, the bucket at which the
+    quota of a source and the overflow are surely reached. Rows beyond it are filtered
+    in the scan, and only the few that are left are ranked."""
     from pyspark.sql import Window as W
 
-    # One row per source: a handful of rows, ordered by name.
-    named = sized.withColumn("__i", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("source")) - 1)
-    count = named.agg(F.count(F.lit(1)).alias("__sources")).withColumn("__one", F.lit(1))
-    quotas = named.withColumn("__one", F.lit(1)).join(count, "__one").select(
-        "source", (F.floor(F.lit(target) / F.col("__sources")) + F.when(
-            F.col("__i") < F.lit(target) % F.col("__sources"), 1).otherwise(0)).alias("__quota"))
-    ranked = groups.positions(hashed, ["source"], [F.asc("__h"), F.asc("id")], coarse).join(quotas, "source")
-    chosen = ranked.where(F.col("position") <= F.col("__quota"))
-    rest = ranked.where(F.col("position") > F.col("__quota")).drop("position")
-    taken = quotas.join(sized, "source").agg(F.sum(F.least("__quota", "__size")).alias("__taken")).withColumn("__one", F.lit(1))
-    spare = groups.positions(rest.withColumn("__one", F.lit(1)), ["__one"], [F.asc("__h"), F.asc("id")], coarse)
-    refill = spare.join(taken, "__one").where(F.col("position") <= F.lit(target) - F.col("__taken"))
+    hashed = rows.withColumn("__h", hash_order(seed, "row", "id")).withColumn("__b", F.substring("__h", 1, 4))
+    # A running count over the buckets of one source: 65,536 rows at most.
+    before = F.sum("__n").over(W.partitionBy("source").orderBy("__b")) - F.col("__n")
+    cells = hashed.groupBy("source", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", before)
+    sizes = cells.groupBy("source").agg(F.sum("__n").alias("__size"))
+    # The place of a source among the sources by name; one row per source.
+    place = F.row_number().over(W.orderBy("source")) - 1
+    share = F.lit(target) / F.count(F.lit(1)).over(W.partitionBy())
+    odd = F.lit(target) % F.count(F.lit(1)).over(W.partitionBy())
+    quotas = sizes.select("source", "__size", (F.floor(share) + F.when(place < odd, 1).otherwise(0)).alias("__quota"))
+    need = (F.lit(target) - F.sum(F.least("__quota", "__size"))).alias("__need")
+    total = quotas.agg(need)
+    planned = cells.join(quotas.select("source", "__quota"), "source")
+    over = F.col("__n") - F.greatest(F.lit(0), F.least(F.col("__n"), F.col("__quota") - F.col("__before")))
+    # Overflow of all sources per bucket: 65,536 rows at most.
+    spare = planned.groupBy("__b").agg(F.sum(over).alias("__n"))
+    spare = spare.withColumn("__before", F.sum("__n").over(W.orderBy("__b")) - F.col("__n"))
+    spare_cut = spare.join(total, F.col("__before") < F.col("__need")).agg(F.max("__b").alias("__spare_cut"), F.max("__need").alias("__need"))
+    own_cut = planned.where(F.col("__before") < F.col("__quota")).groupBy("source").agg(
+        F.max("__b").alias("__own_cut"), F.max("__quota").alias("__quota"))
+    # One row per source; a source without quota is reached by the overflow alone.
+    cuts = quotas.select("source").join(own_cut, "source", "left").join(spare_cut)
+    reached = F.coalesce(F.col("__b") <= F.col("__own_cut"), F.lit(False)) | F.coalesce(F.col("__b") <= F.col("__spare_cut"), F.lit(False))
+    near = hashed.join(cuts, "source").where(reached)
+    ranked = near.withColumn("__rank", F.row_number().over(W.partitionBy("source").orderBy("__h", "id")))
+    inside = F.col("__rank") <= F.coalesce("__quota", F.lit(0))
+    chosen = ranked.where(inside)
+    # A distributed top-k of the target at most, then the part of it that is needed.
+    spared = ranked.where(~inside).orderBy("__h", "id").limit(target)
+    refill = spared.withColumn("__rank", F.row_number().over(W.orderBy("__h", "id"))).where(F.col("__rank") <= F.col("__need"))
     columns = rows.columns
     return chosen.select(*columns, F.lit("quota").alias("reason")).unionByName(
         refill.select(*columns, F.lit("overflow").alias("reason")))
