@@ -3,7 +3,9 @@
 Two lines lie within one edit exactly if a string is left of both after at most one deletion each. A line's
 neighbourhood is the line and all strings that lack one of its characters. Lines that share a neighbour by
 deletions at the same place, or where one line is itself the neighbour, are within one edit; others that
-share it also share such a one. So a group of lines around one neighbour needs no pairs: its earliest lines decide.
+share it also share such a one. All places of a run of equal characters leave the same string, so a deletion is
+known by the span of its run, and lines share a place where their spans meet. So a group of lines around one
+neighbour needs no pairs: its earliest lines decide.
 
 Neighbourhoods are long, so they are spread only where a partner can exist: an edit leaves the first or the
 second half of a line intact, and halves are counted first."""
@@ -63,10 +65,10 @@ def candidates(lines: DataFrame) -> DataFrame:
     return keyed.join(repeated, "key").groupBy("doc_id").agg(F.collect_list(F.struct("place", "kind", "key")).alias("wanted"))
 
 
-def neighbourhood(rest: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of what is left of a half by no deletion or by one, and the places (-1 for none).
+def neighbourhood(rest: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of what is left of a half by no deletion or by one, and the first and last place of it (-1 for none).
 
-    Of a run of equal characters only the first is deleted, as the others leave the same string."""
+    The characters of a run leave the same string, so a run is one entry that spans its places."""
     m = len(rest)
     with np.errstate(over="ignore"):
         mixed = (rest.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -79,12 +81,12 @@ def neighbourhood(rest: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
         hashes = np.concatenate([sums[m:], left]) + sizes * np.uint64(0xA0761D6478BD642F) + np.uint64(key % (1 << 64))
         hashes ^= hashes >> np.uint64(29)
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
-    return hashes.view(np.int64), np.concatenate([[-1], places])
+    return hashes.view(np.int64), np.concatenate([[-1], places]), np.concatenate([[-1], places[1:] - 1, [m - 1] * (m > 0)])
 
 
 def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``neighbour`` (hash), ``at`` (place of the deletion), ``doc_id`` and ``place`` for every candidate line."""
-    names = ["neighbour", "at", "doc_id", "place"]
+    """``neighbour`` (hash), ``at`` and ``to`` (places of the deletion), ``doc_id`` and ``place`` for every candidate line."""
+    names = ["neighbour", "at", "to", "doc_id", "place"]
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
@@ -98,33 +100,34 @@ def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     half = (len(line) - kind // 2) // 2
                     # a shared first half leaves the rest behind it, a shared second half what stands before it
                     rest = line[half:] if kind % 2 == 0 else line[: len(line) - (len(line) - kind // 2 - half)]
-                    hashes, at = neighbourhood(rest, want["key"])
-                    parts.append((hashes, at, doc_id, want["place"]))
+                    parts.append((*neighbourhood(rest, want["key"]), doc_id, want["place"]))
             if parts:
                 sizes = [len(p[0]) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([p[0] for p in parts])),
                         pa.array(np.concatenate([p[1] for p in parts]).astype(np.int32)),
-                        pa.array(np.repeat(np.array([p[2] for p in parts], np.int64), sizes)),
-                        pa.array(np.repeat(np.array([p[3] for p in parts], np.int32), sizes)),
+                        pa.array(np.concatenate([p[2] for p in parts]).astype(np.int32)),
+                        pa.array(np.repeat(np.array([p[3] for p in parts], np.int64), sizes)),
+                        pa.array(np.repeat(np.array([p[4] for p in parts], np.int32), sizes)),
                     ],
                     names=names,
                 )
 
     joined = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    return joined.mapInArrow(spread, "neighbour long, at int, doc_id long, place int")
+    return joined.mapInArrow(spread, "neighbour long, at int, to int, doc_id long, place int")
 
 
 def near_pairs(spread: DataFrame) -> DataFrame:
     """A line (``doc_id``, ``place``) and an earlier one within one edit (``other``), without all pairs of a group.
 
-    Each neighbour keeps the earliest line per place of deletion. A line meets the earliest of its own place and
-    the neighbour itself where that is a line; a line that is the neighbour meets the earliest of all places."""
+    Each neighbour keeps the earliest line per span of deletion. A line meets the earliest of each span that shares
+    a place with its own and the neighbour itself where that is a line; a line that is the neighbour meets the
+    earliest of all."""
     order = F.struct("doc_id", "place")
-    earliest = spread.groupBy("neighbour", "at").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("n"))
-    grouped = earliest.groupBy("neighbour").agg(F.sum("n").alias("n"), F.collect_list(F.struct("at", "lo")).alias("los")).where("n > 1").select("neighbour", "los")
-    met = F.filter("los", lambda x: (F.col("at") == -1) | (x["at"] == F.col("at")) | (x["at"] == -1))
+    earliest = spread.groupBy("neighbour", "at", "to").agg(F.min(order).alias("lo"), F.count(F.lit(1)).alias("n"))
+    grouped = earliest.groupBy("neighbour").agg(F.sum("n").alias("n"), F.collect_list(F.struct("at", "to", "lo")).alias("los")).where("n > 1").select("neighbour", "los")
+    met = F.filter("los", lambda x: (F.col("at") == -1) | (x["at"] == -1) | ((x["at"] <= F.col("to")) & (x["to"] >= F.col("at"))))
     paired = spread.join(grouped, "neighbour").select("doc_id", "place", F.array_min(F.transform(met, lambda x: x["lo"])).alias("other"))
     return paired.where(F.col("other") < order).distinct()
 

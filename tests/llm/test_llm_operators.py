@@ -181,6 +181,19 @@ def test_line_dedup_matches_brute_force(odd):
     assert rows_of(line_dedup.line_dedup(odd.limit(0))) == []
 
 
+def test_line_dedup_finds_edits_within_runs_of_equal_characters(spark):
+    """Double letters and digits: a substitution inside a run meets its partner, whichever of the two is earlier."""
+    base = ["the committee agreed on the plan", "a line with the number 100 in it", "a line with the number 11 in it", "aaaaaaaaaaaaaaaaaaaaaaaa", "good books are read twice"]
+    lines = base + ["the comnittee agreed on the plan", "a line with the number 101 in it", "a line with the number 12 in it", "gord books are read twice"]
+    lines += ["a" * i + "b" + "a" * (23 - i) for i in (0, 5, 11, 12, 23)] + ["a" * 25, "b" + "a" * 23 + "b", "the comittee agreed on the plan", "the commmittee agreed on the plam"]
+    rng = np.random.default_rng(3)
+    lines += ["".join("ab"[x] for x in rng.integers(0, 2, n)) for n in rng.integers(20, 22, 400).tolist()]
+    for order in (lines, lines[::-1]):
+        docs = spark.createDataFrame(list(enumerate(order)), "doc_id long, text string")
+        got = {r["doc_id"]: r["n_removed"] for r in rows_of(line_dedup.line_dedup(docs))}
+        assert got == {i: int(any(within_one_edit(x, y) for y in order[:i])) for i, x in enumerate(order)}
+
+
 def brute_components(texts):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
