@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import among, let, slices, stored, without
 
-#: Shorter lines are never duplicates: one edit would mean too much there.
+#: Shorter lines are duplicates of equal lines only: one edit would mean too much there.
 MIN_CHARS = 20
+#: What a shorter line needs to go: a letter or a digit.
+WORD = r"[\p{L}\p{N}]"
 #: Odd base of the rolling hash and its inverse modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -45,22 +47,23 @@ def split_lines(text: Column) -> Column:
 
 
 def eligible(line: Column) -> Column:
-    return F.length(line) >= MIN_CHARS
+    """Lines that can go: long ones by one edit, short ones with a word by an equal line."""
+    return (F.length(line) >= MIN_CHARS) | line.rlike(WORD)
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """Eligible lines once each: ``doc_id`` and ``place`` of the earliest, and the half keys ``k0`` to ``k3``.
+    """Eligible lines once each: ``doc_id`` and ``place`` of the earliest, length ``n`` and the half keys ``k0`` to ``k3``.
 
     A line is known by hashes of 128 bits and its length; its text is not shuffled."""
     lines = docs.select("doc_id", F.posexplode_outer(split_lines(F.col("text"))).alias("place", "line")).where(eligible(F.col("line")))
     keyed = lines.select("doc_id", "place", F.xxhash64("line").alias("h"), F.length("line").alias("n"), *[k.alias(f"k{i}") for i, k in enumerate(halves(F.col("line")))])
     grouped = keyed.groupBy("h", "n", "k0", "k1", "k2", "k3").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    return grouped.select("first.doc_id", "first.place", "k0", "k1", "k2", "k3")
+    return grouped.select("first.doc_id", "first.place", "n", "k0", "k1", "k2", "k3")
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """``doc_id`` and ``wanted``: places of lines with a half that another line has, and that half's key."""
-    keyed = lines.select("doc_id", "place", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("kind", "key"))
+    """``doc_id`` and ``wanted``: places of long lines with a half that another one has, and that half's key."""
+    keyed = lines.where(F.col("n") >= MIN_CHARS).select("doc_id", "place", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("kind", "key"))
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(repeated, "key").groupBy("doc_id").agg(F.collect_list(F.struct("place", "kind", "key")).alias("wanted"))
 
@@ -147,7 +150,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Lines are compared over all documents in the order of ``doc_id`` and place. A line of at least
     ``MIN_CHARS`` characters goes if an earlier one equals it or lies within one edit of it, whether that one
-    stays or not; the first of a chain stays. Shorter and empty lines stay. Lines are what ``\\n`` parts.
+    stays or not; the first of a chain stays. A shorter line with a letter or digit goes if an earlier one equals
+    it; other short lines and empty ones stay. Lines are what ``\\n`` parts.
 
     A null text stays null and has no lines. Rows with a null ``doc_id`` stay whole and drop nothing. Rows of
     one ``doc_id`` are versions of one document: a place that stays in one stays in each. Input columns named

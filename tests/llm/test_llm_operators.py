@@ -194,6 +194,14 @@ def test_line_dedup_finds_edits_within_runs_of_equal_characters(spark):
         assert got == {i: int(any(within_one_edit(x, y) for y in order[:i])) for i, x in enumerate(order)}
 
 
+def test_short_lines_go_with_an_equal_earlier_line_only(spark):
+    """Exact copies of short lines with a word go; one edit is not enough, and marks and empty lines stay."""
+    texts = ["Read more\n--\n\nBook 1\n4", "Read more\n--\n\nBook 2\n4\nread more", "Überschrift\n日本\n ", "日本\n \nÜberschrift\nRead more \nBook 1\nBook 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in rows_of(line_dedup.line_dedup(docs))}
+    assert got == {0: (texts[0], 0), 1: ("--\n\nBook 2\nread more", 2), 2: (texts[2], 0), 3: (" \nRead more ", 4)}
+
+
 def brute_components(texts):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
