@@ -270,6 +270,16 @@ def test_html_main_text(spark):
         assert got[r["page_id"]] == "\n".join(b for b in blocks if b)
 
 
+def test_html_runs_on_two_pages_of_a_large_host_are_found(spark, monkeypatch):
+    """However many buckets a host has; versions of one page are no evidence against each other."""
+    monkeypatch.setattr(html_text, "BUCKET_PAGES", 2)
+    words = lambda name: " ".join(f"{name}w{j}" for j in range(12))
+    rows = [(i, f"http://large.x/{i}", f"<p>{words(f'own{i}')}</p><div>{words(f'pair{i // 2}')}</div>") for i in range(120)]
+    rows += [(500, "http://large.x/500", f"<p>{words('twin')}</p>")] * 2 + [(501, "http://other.x/", f"<p>{words('pair3')}</p>")]
+    got = {(r["page_id"], r["text"]) for r in rows_of(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == {(i, words(f"own{i}")) for i in range(120)} | {(500, words("twin")), (501, words("pair3"))}
+
+
 def test_quality_scores_on_held_out_rows(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rows_of(quality_model.quality_scores(docs, labels).join(labels, "doc_id", "left"))
