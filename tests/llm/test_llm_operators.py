@@ -280,6 +280,19 @@ def test_html_runs_on_two_pages_of_a_large_host_are_found(spark, monkeypatch):
     assert got == {(i, words(f"own{i}")) for i in range(120)} | {(500, words("twin")), (501, words("pair3"))}
 
 
+def test_html_blocks_beside_an_article_are_evidence(spark):
+    """An open or marked block on pages with an article or main element also goes from a page without; articles stay."""
+    menu, notice, body = (" ".join(f"{name}{j}" for j in range(10)) for name in ("menu", "notice", "body"))
+    rows = [
+        (1, "http://a.b/1", f"<div>{menu}</div><article><p>{body}</p></article>"),
+        (2, "http://a.b/2", f"<main><p>{body} two</p></main><div class='notice'>{notice}</div>"),
+        (3, "http://a.b/3", f"<div>{menu}</div><p>only here are these words seen</p><div>{notice}</div><p>{body}</p>"),
+        (4, "http://c.d/3", f"<div>{menu}</div>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in rows_of(html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    assert got == {1: body, 2: f"{body} two", 3: f"only here are these words seen\n{body}", 4: menu}
+
+
 def test_quality_scores_on_held_out_rows(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = rows_of(quality_model.quality_scores(docs, labels).join(labels, "doc_id", "left"))
