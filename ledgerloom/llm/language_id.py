@@ -19,6 +19,8 @@ from ledgerloom.llm.common import id_remainder, slices, without
 
 #: Labelled documents taken per language, characters of all automata together and of one at most.
 TRAIN_DOCS, ALL_CHARS, LANGUAGE_CHARS = 24, 400_000, 40_000
+#: Characters of a piece of a labelled document that is longer than its part of the bound.
+PIECE = 250
 #: A text is parsed in segments of so many characters side by side; each begins a new phrase.
 SEGMENT = 256
 
@@ -27,7 +29,7 @@ def training_text(docs: DataFrame, divisor: int = 4, held_out: int = 2) -> dict[
     """Text per language from labelled rows whose id remainder is not ``held_out``.
 
     The sample is bounded for the fit alone: the ``TRAIN_DOCS`` rows of a language whose ids hash lowest, kept
-    per task before anything is shuffled. A language without letters in its sample is not learnt."""
+    per task before anything is shuffled. They divide the characters of a language among them. A language without letters in its sample is not learnt."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_remainder(F.col("doc_id"), divisor) != held_out))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
     best = known.select("lang", "doc_id", "text").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRAIN_DOCS)
@@ -35,10 +37,24 @@ def training_text(docs: DataFrame, divisor: int = 4, held_out: int = 2) -> dict[
     for row in sorted(best.collect(), key=lambda r: (r["lang"], r["nth"])):
         texts.setdefault(row["lang"], []).append(row["text"])
     share = min(LANGUAGE_CHARS, ALL_CHARS // max(len(texts), 1))
-    joined = {lang: folded(" ".join(parts))[:share] for lang, parts in texts.items()}
+    joined = {lang: divided([folded(p) for p in parts], share) for lang, parts in texts.items()}
     return {lang: text for lang, text in joined.items() if text.strip()}
 
 
+def divided(parts: list[str], share: int) -> str:
+    """At most ``share`` characters of all ``parts``: short ones whole, of longer ones equally many in pieces from their whole length."""
+    taken, room = [""] * len(parts), share
+    for left, i in zip(range(len(parts), 0, -1), sorted(range(len(parts)), key=lambda i: len(parts[i])), strict=True):
+        quota, part = room // left, parts[i]
+        if len(part) + 1 > quota:
+            count = max(1, quota // PIECE)
+            size = max(quota // count - 1, 0)
+            part = " ".join(part[at : at + size] for at in np.linspace(0, len(part) - size, count).astype(int).tolist())
+        taken[i] = part
+        room -= min(len(part) + 1, room)
+    return " ".join(t for t in taken if t)[:share]
+
+
 def folded(text: str) -> str:
     """Small letters; anything but letters is a blank."""
     return "".join(c if c.isalpha() else " " for c in text.lower())

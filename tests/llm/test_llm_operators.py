@@ -314,6 +314,16 @@ def test_languages_on_held_out_rows(spark, odd):
     assert rows_of(language_id.languages(odd.limit(0))) == []
 
 
+def test_a_long_document_does_not_fill_the_sample_of_a_language(spark):
+    """Every sampled document teaches something, a long one from its whole length, within the bound."""
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:12]
+    middle = " ".join("filler" for _ in range(30_000))
+    rows = [(i, f"short {chr(97 + k) * 9} text" if k % 2 else f"long {middle} {chr(97 + k) * 300}", "xx") for k, i in enumerate(ids)]
+    text = language_id.training_text(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["xx"]
+    assert len(text) <= language_id.LANGUAGE_CHARS
+    assert all(chr(97 + k) * 9 in text for k in range(12))
+
+
 def test_pipeline_stages_take_what_the_one_before_kept(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd_docs = odd.selectExpr("doc_id + 5000000 as doc_id", "text", "lang", "source", "cast(n_tokens as long) as n_chars")
