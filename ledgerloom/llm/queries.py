@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, oracles, quality_model, quality_rules, token_counts, token_store
+from ledgerloom.llm import bpe, conversation_repair, decontaminate, html_text, jaccard_join, language_id, line_dedup, merkle, oracles, quality_model, quality_rules, token_counts, token_store, toxicity
 from ledgerloom.llm.common import read_table
 
 
@@ -67,9 +67,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and verification of every document."""
+    return merkle.verified(read_table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a model of the labelled ones."""
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least edits and a digest of the repaired rows of every damaged conversation."""
+    return conversation_repair.repaired(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_token_counts, op2_bpe_round_trip, op3_quality_rules, op4_token_store, op5_html_text,
     op6_decontaminate, op7_line_dedup, op8_quality_classifier, op9_jaccard_join, op10_language_id,
+    op11_merkle_manifest, op12_toxicity, op13_conversation_repair,
 )
 
 
