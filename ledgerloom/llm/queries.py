@@ -94,7 +94,7 @@ def queries() -> dict:
 
 
 #: SQL for the operators that it can express; the others are tested against brute force.
-ORACLE_SQL = {"op3_quality_rules": oracles.OP3, "op6_decontaminate": oracles.OP6, "op9_jaccard_join": oracles.OP9}
+ORACLE_SQL = {"op3_quality_rules": oracles.OP3, "op6_decontaminate": oracles.OP6, "op9_jaccard_join": oracles.OP9, "op11_merkle_manifest": oracles.OP11, "op13_conversation_repair": oracles.OP13}
 
 
 def oracle_sql() -> dict[str, str]:
