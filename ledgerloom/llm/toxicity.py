@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ledgerloom.llm.common import id_remainder, slices, without
+from ledgerloom.llm.common import id_remainder, slices, stored, without
 
 #: Character n-grams from ``SHORTEST`` to ``LONGEST`` letters, hashed to ``SPACE`` places.
 SHORTEST, LONGEST, SPACE = 3, 5, 1 << 19
@@ -19,7 +19,7 @@ GRADES = (1, 2)
 FEATURES = SPACE * len(GRADES)
 #: Labelled texts that a feature needs, and the smoothing of its counts.
 LEAST_TEXTS, SMOOTHING = 4, 1.0
-#: Labelled rows that fit the weights at most (the counts take all), and rows of one leader.
+#: Labelled rows that fit ratios and weights at most, and rows of one leader.
 TRAIN_ROWS, SHARD_ROWS = 16_384, 4_096
 #: Step, smoothing and penalties of the updates, passes over the rows, and the power of a text's size that divides.
 ALPHA, BETA, L1, L2, PASSES, NORM = 1.0, 1.0, 1.0, 0.1, 3, 0.25
@@ -55,14 +55,23 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([place[count >= least] + grade * SPACE for grade, least in enumerate(GRADES)]).astype(np.int32)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, divisor: int, held_out: int) -> DataFrame:
-    """``doc_id``, ``text`` and ``label__`` of the rows that may teach; the larger of several labels counts."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), divisor) != held_out))
-    return docs.select("doc_id", "text").join(usable.groupBy("doc_id").agg(F.max("toxic").alias("label__")), "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, divisor: int, held_out: int, rows: int) -> DataFrame:
+    """``doc_id``, ``text``, ``label__`` and ``shard`` of the rows that teach, written once.
+
+    Ids are chosen by a hash, about ``rows`` of them at most, so their table is small enough to broadcast and no
+    other text is shuffled. The larger of several labels of an id counts, and the least of its texts."""
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), divisor) != held_out))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("label__"))
+    size = known.count()
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // rows)))) == 0)
+    shards = max(1, round(min(size, rows) / SHARD_ROWS))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("label__") > 0).cast("int").alias("label__"))
+    return stored(one.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards))), "toxic-sample")
 
 
 def log_ratios(rows: DataFrame) -> np.ndarray:
-    """The log-count ratio of every feature over all labelled rows; zero where fewer than ``LEAST_TEXTS`` have it.
+    """The log-count ratio of every feature over the rows that teach; zero where fewer than ``LEAST_TEXTS`` have it.
 
     Each task adds up its rows; Spark sums the tasks' counts, and the driver gets one row per feature at most."""
 
@@ -76,7 +85,7 @@ def log_ratios(rows: DataFrame) -> np.ndarray:
         columns = [np.append(found, FEATURES).astype(np.int32), np.append(seen[0, found], texts[0]).astype(np.int64), np.append(seen[1, found], texts[1]).astype(np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "clean", "toxic"])
 
-    counts = rows.select("text", (F.col("label__") > 0).cast("int").alias("label__")).mapInArrow(count, "feature int, clean long, toxic long")
+    counts = rows.select("text", "label__").mapInArrow(count, "feature int, clean long, toxic long")
     summed = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     summed = summed.where((F.col("clean") + F.col("toxic") >= LEAST_TEXTS) | (F.col("feature") == FEATURES)).toArrow()
     feature, clean, toxic = (summed.column(c).to_numpy() for c in ("feature", "clean", "toxic"))
@@ -108,21 +117,17 @@ class Leader:
 def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights of all features, ratios included, and of the constant, from rows whose remainder is not ``held_out``.
 
-    The log-count ratios take every labelled row. The weights are fitted on at most about ``rows`` of them, chosen
-    by a hash of the id, in shards of about ``SHARD_ROWS``: a shard is a column, so the same rows meet the same
-    leader however Spark deals them, and a leader sees its rows in the order of a hash. The shards' weights are
-    averaged by Spark. Without labelled rows all weights are zero and every score is 0.5."""
-    known = labelled(docs, labels, divisor, held_out)
+    At most about ``rows`` labelled rows fit ratios and weights (``TRAIN_ROWS``), chosen by a hash of the id. The
+    weights come from shards of about ``SHARD_ROWS``: a shard is a column, so the same rows meet the same leader
+    however Spark deals them, and a leader sees its rows in the order of a hash. The shards' weights are averaged
+    by Spark. Without labelled rows all weights are zero and every score is 0.5."""
+    known = training_rows(docs, labels, divisor, held_out, rows)
     ratios = log_ratios(known)
-    size = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.count(F.when(id_remainder(F.col("doc_id"), divisor) != held_out, 1))).first()[0]
-    every = max(1, -(-size // rows))
-    shards = max(1, round(min(size, rows) / SHARD_ROWS))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(shards)))
-    ordered = chosen.select("shard", F.xxhash64("doc_id", F.lit(7)).alias("place"), "doc_id", "text", (F.col("label__") > 0).cast("int").alias("label"))
+    ordered = known.select("shard", F.xxhash64("doc_id", F.lit(7)).alias("place"), "doc_id", "text", F.col("label__").alias("label"))
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def fit(table: pa.Table) -> pa.Table:
-        table, scale = table.sort_by([(c, "ascending") for c in ("place", "doc_id", "text")]), np.append(shared.value, np.float32(1))
+        table, scale = table.sort_by([(c, "ascending") for c in ("place", "doc_id")]), np.append(shared.value, np.float32(1))
         leader, held = Leader(), []
         for k in range(table.num_rows):
             found = features(table.column("text")[k].as_py())
