@@ -87,8 +87,8 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int =
     """Weights from labelled rows whose id remainder is not ``held_out``; at most about ``rows`` of them.
 
     The bound is for the fit alone: rows are taken by a hash of the id, whatever the table's size. An id with
-    several labels counts by its larger one; null ids and labels teach nothing. Each of ``SHARDS`` tasks
-    follows its own leader over its rows in id order, and the weights are averaged."""
+    several labels counts by its larger one; null ids and labels teach nothing. Each of ``SHARDS`` groups
+    follows its own leader over its rows in the order of a hash, and the weights are averaged."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), divisor) != held_out))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("label__"))
     every = max(1, -(-known.count() // rows))
@@ -96,22 +96,23 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 3, held_out: int =
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
     rows_used = features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "label__", "grams", "traits")
 
-    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(table: pa.Table) -> pa.Table:
         leader, held = Leader(), []
-        for batch in batches:
-            held.extend(zip(batch.column(1).to_pylist(), examples(batch), strict=True))
+        for batch in table.sort_by([("place", "ascending"), ("copy", "ascending")]).combine_chunks().to_batches():
+            held.extend((label, index.astype(np.int32), value.astype(np.float32)) for label, (index, value) in zip(batch.column("label__").to_pylist(), examples(batch), strict=True))
         for _ in range(PASSES):
-            for label, (index, value) in held:
-                leader.learn(index, value, label)
-        if held:
-            learnt = leader.weights().astype(np.float32)
-            index = np.flatnonzero(learnt)
-            # a shard is counted by an index of its own, as one without any weight counts too
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(index, DIMENSIONS).astype(np.int32)), pa.array(np.append(learnt[index], 1).astype(np.float64))], names=["index", "weight"])
-
-    shards = rows_used.repartition(SHARDS, F.xxhash64("doc_id")).sortWithinPartitions(F.xxhash64(F.col("doc_id"), F.lit(7)), F.xxhash64("grams"))
+            for label, index, value in held:
+                leader.learn(index, value.astype(float), label)
+        learnt = leader.weights().astype(np.float32)
+        index = np.flatnonzero(learnt)
+        # a shard is counted by an index of its own, as one without any weight counts too
+        return pa.table({"index": np.append(index, DIMENSIONS).astype(np.int32), "weight": np.append(learnt[index], 1).astype(np.float64)})
+
+    # the shard is a column: the same rows meet the same leader however Spark deals them
+    shard, place, copy = F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)), F.xxhash64(F.col("doc_id"), F.lit(7)), F.xxhash64("grams")
+    shards = rows_used.select(shard.alias("shard"), place.alias("place"), copy.alias("copy"), "label__", "grams", "traits").groupBy("shard")
     # summed by Spark: the driver gets one number per index at most, however many shards there are
-    summed = shards.mapInArrow(fit, "index int, weight double").groupBy("index").agg(F.sum("weight").alias("weight")).toArrow()
+    summed = shards.applyInArrow(fit, "index int, weight double").groupBy("index").agg(F.sum("weight").alias("weight")).toArrow()
     sums = np.zeros(DIMENSIONS + 1)
     sums[summed.column("index").to_numpy()] = summed.column("weight").to_numpy()
     return sums[:DIMENSIONS] / max(sums[DIMENSIONS], 1)
