@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from .storage import written
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi join that also matches null keys; key columns come from the left."""
@@ -22,33 +24,22 @@ def attach(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
     return join_null_safe(df, df.groupBy(*keys).agg(*aggregates), keys, "inner")
 
 
-def positions(
-    df: DataFrame, keys: list[str], order: list[Column], coarse: list[Column], name: str = "position"
-) -> DataFrame:
-    """1-based row numbers within ``keys`` for groups of any size.
-
-    ``coarse`` are ascending expressions, each refining the one before, that
-    agree with ``order``. Rows are numbered inside the finest bucket only and
-    shifted by the sizes of the buckets before it. The running sums go over
-    bucket counts, one level at a time, so no task sorts a whole hot group."""
-    levels = [f"__b{i}" for i in range(len(coarse))]
-    bucketed = df.select("*", *[c.alias(b) for c, b in zip(coarse, levels)])
-    finest = bucketed.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = finest
-    for depth in range(len(levels)):
-        path = [*keys, *levels[: depth + 1]]
-        before = W.partitionBy(*path[:-1]).orderBy(path[-1]).rowsBetween(W.unboundedPreceding, -1)
-        shift = F.coalesce(F.sum("__m").over(before), F.lit(0)).alias(f"__o{depth}")
-        sizes = finest.groupBy(*path).agg(F.sum("__n").alias("__m")).select(*path, shift)
-        offsets = join_null_safe(offsets, sizes, path, "inner")
-    shifts = sum((F.col(f"__o{d}") for d in range(len(levels))), F.lit(0))
-    offsets = offsets.select(*keys, *levels, shifts.alias("__offset"))
-    within = F.row_number().over(W.partitionBy(*keys, *levels).orderBy(*order))
-    return (
-        join_null_safe(bucketed.withColumn("__row", within), offsets, [*keys, *levels], "inner")
-        .withColumn(name, F.col("__row") + F.col("__offset"))
-        .drop("__row", "__offset", *levels)
-    )
+def positions(df: DataFrame, keys: list[str], order: list[Column], name: str = "position", size: str | None = None) -> DataFrame:
+    """1-based row numbers within ``keys`` for groups of any size, and the group's ``size`` where a name is given.
+
+    Rows are dealt into ranges of (keys, order) and written in that order: their one shuffle. The number of a row
+    is its place in its range plus the rows of its group in the ranges before; only one count per group and
+    range meets in a window. Equal rows are spread by their place of reading."""
+    by = [F.col(k).asc_nulls_first() for k in keys] + order
+    spread = df.withColumn("__spread", F.monotonically_increasing_id()).repartitionByRange(*by, F.col("__spread"))
+    dealt = written(spread.sortWithinPartitions(*by).drop("__spread").withColumn("__seq", F.monotonically_increasing_id()), "positions")
+    dealt = dealt.withColumn("__range", F.shiftright("__seq", 33))
+    counts = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"), F.min("__seq").alias("__first"))
+    whole = W.partitionBy(*keys)
+    before = F.sum("__n").over(whole.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    places = counts.select(*keys, "__range", (before - F.col("__first") + 1).alias("__shift"), F.sum("__n").over(whole).alias("__size"))
+    joined = join_null_safe(dealt, places, [*keys, "__range"], "inner").withColumn(name, F.col("__seq") + F.col("__shift"))
+    return (joined.withColumn(size, F.col("__size")) if size else joined).drop("__seq", "__range", "__shift", "__size")
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

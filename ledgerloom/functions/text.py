@@ -74,15 +74,27 @@ def mask(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\p{Nd}", "0"), r"\p{L}", "X")
 
 
+def mask_json(payload: Column) -> Column:
+    """JSON text with every string value masked, at any depth; keys, numbers and layout stay.
+
+    The text is cut into strings and the rest. A string that no colon follows is a value: it is decoded, masked and
+    written again, so escapes stay whole."""
+    tokens = F.regexp_extract_all(payload, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?|[^"]+'), F.lit(0))
+    words = lambda t: F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")
+    written = lambda t: F.regexp_replace(F.to_json(F.transform(words(t), mask)), r"^\[|\]$", "")
+    masked = F.transform(tokens, lambda t: F.when(F.startswith(t, F.lit('"')) & ~t.rlike(r":\z"), written(t)).otherwise(t))
+    return F.array_join(masked, "")
+
+
 def reason_codes(codes: Column) -> Column:
     """Upper-case slugs, distinct in first-seen order, at most twelve."""
     slugs = F.transform(codes, lambda c: F.regexp_replace(F.upper(F.trim(c)), "[^A-Z0-9_]", "_"))
     return F.slice(F.array_distinct(F.filter(slugs, lambda c: c != "")), 1, 12)
 
 
-def repair_mojibake(text: Column) -> Column:
+def repair_mojibake(text: Column, markers: str = "ÂÃÄÅ") -> Column:
     """Undo UTF-8 bytes read as Latin-1, where the text shows the markers."""
-    suspicious = text.rlike("[ÂÃÄÅ]") & ~text.rlike("[^\u0000-ÿ]")
+    suspicious = text.rlike(f"[{markers}]") & ~text.rlike("[^\u0000-ÿ]")
     raw = F.when(suspicious, F.encode(text, "ISO-8859-1"))
     return F.coalesce(F.try_validate_utf8(raw.cast("string")), text)
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import groups
 from ..functions.binding import let
-from ..functions.text import mask, repair_mojibake
+from ..functions.storage import written
+from ..functions.text import mask, mask_json, repair_mojibake
 
 # Letters, confusable characters, row patterns and sample weights.
 SPECIAL_LETTERS = "çğıİöşüÇĞIÖŞÜ"
@@ -161,8 +161,6 @@ def source_balanced_sample(rows: DataFrame, target: int, seed: int) -> DataFrame
     65,536 hash buckets per source gives, before any row moves, the bucket at which the
     quota of a source and the overflow are surely reached. Rows beyond it are filtered
     in the scan, and only the few that are left are ranked."""
-    from pyspark.sql import Window as W
-
     hashed = rows.withColumn("__h", hash_order(seed, "row", "id")).withColumn("__b", F.substring("__h", 1, 4))
     # A running count over the buckets of one source: 65,536 rows at most.
     before = F.sum("__n").over(W.partitionBy("source").orderBy("__b")) - F.col("__n")
@@ -203,8 +201,6 @@ def document_balanced_sample(rows: DataFrame, documents: int, lines: int, seed:
     docs = rows.select("doc_id").distinct().withColumn("__d", hash_order(seed, "document", "doc_id"))
     # Top offset + maximum over all documents: a distributed top-k.
     first = docs.orderBy("__d", "doc_id").limit(offset + documents).withColumn("__one", F.lit(1))
-    from pyspark.sql import Window as W
-
     ranked = first.withColumn("document_rank", F.row_number().over(W.partitionBy("__one").orderBy("__d", "doc_id")))
     picked = ranked.where(F.col("document_rank") > offset).select("doc_id", F.col("document_rank").cast("long"))
     inside = rows.join(picked, "doc_id").withColumn("__l", hash_order(seed, "line", "id"))
@@ -213,8 +209,7 @@ def document_balanced_sample(rows: DataFrame, documents: int, lines: int, seed:
 
 def ratio_split(rows: DataFrame, keys: list[str]) -> DataFrame:
     """70/15/15 by position in each class; classes of at most two rows are test."""
-    ranked = groups.positions(rows, keys, [F.asc("id")], [F.floor(F.col("id") / 1_000_000)])
-    sized = groups.attach(ranked, keys, F.count(F.lit(1)).alias("__n"))
+    sized = groups.positions(rows, keys, [F.asc("id")], size="__n")
     share = (F.col("position") - 1) / F.col("__n")
     split = (
         F.when(F.col("__n") <= 2, "test").when(share < 0.7, "train").when(share < 0.85, "validation").otherwise("test")
@@ -225,8 +220,7 @@ def ratio_split(rows: DataFrame, keys: list[str]) -> DataFrame:
 def fifth_document_split(rows: DataFrame) -> DataFrame:
     """Every fifth document (in id order) goes to validation; a single document trains."""
     docs = rows.select("source", "doc_id").distinct()
-    ranked = groups.positions(docs, ["source"], [F.asc("doc_id")], [F.floor(F.col("doc_id") / 1_000_000)])
-    sized = groups.attach(ranked, ["source"], F.count(F.lit(1)).alias("__n"))
+    sized = groups.positions(docs, ["source"], [F.asc("doc_id")], size="__n")
     held = (F.col("__n") > 1) & ((F.col("position") - 1) % 5 == 4)
     return sized.select("source", "doc_id", F.when(held, "validation").otherwise("train").alias("split"))
 
@@ -258,12 +252,12 @@ def reading_order(box: DataFrame) -> DataFrame:
     centre = F.col("y1") + F.floor((F.col("y2") - F.col("y1")) / 2)
     return groups.positions(
         box.withColumn("__c", centre), ["doc_id", "kind"], [F.asc(c) for c in ("__c", "x1", "ord", "x2", "y2")],
-        [F.floor(F.col("__c") / 64)], "reading_position",
+        "reading_position",
     ).drop("__c")
 
 
 def box_pairs(box: DataFrame, cell: int = 128) -> DataFrame:
-    """Overlapping truth × predicted boxes of one document with their IoU.
+    """Overlapping truth × predicted boxes of one document with their IoU and the share of each that is covered.
 
     Boxes meet through the grid cells they touch, so only neighbours are ever
     paired; pairs without overlap have IoU 0 and no later step reads them."""
@@ -285,50 +279,102 @@ def box_pairs(box: DataFrame, cell: int = 128) -> DataFrame:
     return pairs.where((width > 0) & (height > 0) & home).select(
         "doc_id", F.col("t_ord").alias("truth"), F.col("p_ord").alias("pred"),
         (overlap / (area("t") + area("p") - overlap)).alias("iou"),
+        (overlap / area("t")).alias("truth_covered"), (overlap / area("p")).alias("pred_covered"),
     )
 
 
 def greedy_matches(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One-to-one matches of each document by falling IoU.
-
-    The greedy choice is sequential inside a document; only pairs at the
-    threshold or above reach it, which leaves few per box."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["iou", "truth", "pred"], ascending=[False, True, True])
-        truths, preds, keep = set(), set(), []
-        for row in ordered.itertuples():
-            free = row.truth not in truths and row.pred not in preds
-            keep.append(free)
-            if free:
-                truths.add(row.truth)
-                preds.add(row.pred)
-        return ordered[keep][["doc_id", "truth", "pred", "iou"]]
-
-    close = pairs.where(F.col("iou") >= threshold)
-    return close.groupBy("doc_id").applyInPandas(match, close.schema)
+    """One-to-one matches of each document by falling IoU, ties by truth, then prediction.
+
+    The sequential choice is made in rounds without a group per document: a pair that is the best one left of
+    both its boxes would be reached before any pair that touches it, so it is a match; its boxes then leave.
+    Every round matches at least the best pair of each cluster of touching boxes. What is left after a round is
+    written, and the rounds end when nothing is."""
+    left = pairs.where(F.col("iou") >= threshold).select("doc_id", "truth", "pred", "iou")
+    found = []
+    while True:
+        rank = F.struct(-F.col("iou"), F.col("truth"), F.col("pred"))
+        best = lambda side: F.min(rank).over(W.partitionBy("doc_id", side))
+        ranked = left.withColumns({"__t": best("truth"), "__p": best("pred")})
+        hit = (F.col("__t") == rank) & (F.col("__p") == rank)
+        touched = lambda side: F.max(hit.cast("int")).over(W.partitionBy("doc_id", side)) == 1
+        judged = written(ranked.select("doc_id", "truth", "pred", "iou", hit.alias("__hit"), touched("truth").alias("__gone_t"), touched("pred").alias("__gone_p")), "matches")
+        found.append(judged.where("__hit").select("doc_id", "truth", "pred", "iou"))
+        left = judged.where("NOT __gone_t AND NOT __gone_p").select("doc_id", "truth", "pred", "iou")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
+def ordered_pairs(matches: DataFrame, chunk: int = 4096) -> DataFrame:
+    """``doc_id``, pairs of matches, and how many keep the order of truth and prediction.
+
+    Inversions are counted bit by bit: at the highest bit in which two prediction ranks differ, the pair is in
+    order if the earlier truth has a 0 and the later a 1. A match takes part once per bit of its document, in the
+    group of ranks that share all higher bits; the zeros before it are running counts inside a chunk of truth
+    ranks plus those of the chunks before, so no task holds a document."""
+    by_pred = groups.positions(matches.select("doc_id", "truth", "pred"), ["doc_id"], [F.asc("pred")], "__p")
+    ranked = groups.positions(by_pred, ["doc_id"], [F.asc("truth")], "__t", "__m")
+    bits = F.length(F.bin(F.col("__m")))
+    each = ranked.select("doc_id", "__m", "__t", "__p", F.explode(F.sequence(F.lit(0), bits - 1)).alias("__bit"))
+    each = each.select(
+        "doc_id", "__bit", "__t", F.call_function("shiftright", F.col("__p"), F.col("__bit") + 1).alias("__high"),
+        (F.call_function("shiftright", F.col("__p"), F.col("__bit")) % 2).alias("__one"), F.floor(F.col("__t") / chunk).alias("__chunk"))
+    keys = ["doc_id", "__bit", "__high"]
+    inside = F.sum(1 - F.col("__one")).over(W.partitionBy(*keys, "__chunk").orderBy("__t").rowsBetween(W.unboundedPreceding, 0))
+    zeros = each.groupBy(*keys, "__chunk").agg(F.sum(1 - F.col("__one")).alias("__zeros"))
+    earlier = zeros.select(*keys, "__chunk", (F.sum("__zeros").over(W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("__zeros")).alias("__earlier"))
+    counted = each.withColumn("__inside", inside).where("__one = 1").join(earlier, [*keys, "__chunk"])
+    in_order = counted.groupBy("doc_id").agg(F.sum(F.col("__inside") + F.col("__earlier")).alias("in_order"))
+    sizes = ranked.groupBy("doc_id").agg(F.max("__m").alias("n")).select("doc_id", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
+    return sizes.join(in_order, "doc_id", "left").select("doc_id", "pairs", F.coalesce("in_order", F.lit(0)).alias("in_order"))
 
 
 def box_detection_scores(box: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Precision, recall, F1 and IoU of the matched boxes of each document."""
+    """Scores of the detected boxes of each document.
+
+    Precision, recall and F1 of the one-to-one matches, mean and median IoU, missed boxes, duplicates, predictions
+    that merge two truths or more, truths that are split over two predictions or more, and the share of match
+    pairs whose predictions keep the truth's order (1 below two matches)."""
     sizes = box.groupBy("doc_id").agg(
         F.count_if(F.col("kind") == "truth").alias("truths"), F.count_if(F.col("kind") == "pred").alias("preds"))
-    hits = greedy_matches(box_pairs(box), threshold).groupBy("doc_id").agg(
+    pairs = written(box_pairs(box), "box-pairs")
+    matches = written(greedy_matches(pairs, threshold), "box-matches")
+    hits = matches.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("matched"), F.round(F.avg("iou"), 6).alias("mean_iou"),
         F.round(F.percentile("iou", F.lit(0.5)), 6).alias("median_iou"))
-    joined = sizes.join(hits, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+
+    def many_to_one(container: str, covered: str, name: str) -> DataFrame:
+        crowded = pairs.where(F.col(covered) >= 0.5).groupBy("doc_id", container).agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+        return crowded.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+
+    joined = sizes
+    for more in (hits, many_to_one("pred", "truth_covered", "merged"), many_to_one("truth", "pred_covered", "split"), ordered_pairs(matches)):
+        joined = joined.join(more, "doc_id", "left")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("matched", "merged", "split", "pairs", "in_order")})
     m = F.col("matched")
-    perfect = lambda empty, other: F.when(F.col(other) == 0, 1.0).otherwise(0.0)
-    precision = F.when(F.col("preds") == 0, perfect("preds", "truths")).otherwise(m / F.col("preds"))
-    recall = F.when(F.col("truths") == 0, perfect("truths", "preds")).otherwise(m / F.col("truths"))
+    perfect = lambda other: F.when(F.col(other) == 0, 1.0).otherwise(0.0)
+    precision = F.when(F.col("preds") == 0, perfect("truths")).otherwise(m / F.col("preds"))
+    recall = F.when(F.col("truths") == 0, perfect("preds")).otherwise(m / F.col("truths"))
     f1 = F.coalesce(F.try_divide(precision * recall * 2, precision + recall), F.lit(0.0))
+    order = F.when(F.col("pairs") == 0, 1.0).otherwise(F.col("in_order") / F.col("pairs"))
     return joined.select(
-        "doc_id", "truths", "preds", "matched", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
-        F.round(f1, 6).alias("f1"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"),
-        F.coalesce("median_iou", F.lit(0.0)).alias("median_iou"),
+        "doc_id", "truths", "preds", "matched", (F.col("truths") - m).alias("missed"), (F.col("preds") - m).alias("duplicates"), "merged", "split",
+        F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(f1, 6).alias("f1"),
+        F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"), F.coalesce("median_iou", F.lit(0.0)).alias("median_iou"), F.round(order, 6).alias("order_accuracy"),
     )
 
 
+def detection_summary(scores: DataFrame) -> DataFrame:
+    """All documents together: counts pooled, the rest averaged over documents."""
+    counts = ("matched", "missed", "duplicates", "merged", "split")
+    sums = scores.agg(
+        F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts], F.round(F.avg("mean_iou"), 6).alias("mean_iou"),
+        F.round(F.percentile("median_iou", F.lit(0.5)), 6).alias("median_iou"), F.round(F.avg("order_accuracy"), 6).alias("order_accuracy"))
+    share = lambda other: F.coalesce(F.try_divide(F.col("matched").cast("double"), F.col("matched") + F.col(other)), F.lit(0.0))
+    p, r = share("duplicates"), share("missed")
+    return sums.withColumns({"precision": F.round(p, 6), "recall": F.round(r, 6), "f1": F.round(F.coalesce(F.try_divide(p * r * 2, p + r), F.lit(0.0)), 6)})
+
+
 def content_dedupe(document: DataFrame) -> DataFrame:
     """Exact copies per tenant: the smallest id survives, others name it."""
     hashed = document.select("id", "tenant_id", F.sha2("text", 256).alias("sha256"))
@@ -356,8 +402,37 @@ def corpora_union(*corpora: DataFrame) -> DataFrame:
     return result
 
 
-def correction_dataset(labelled: DataFrame, anonymise: bool) -> DataFrame:
-    """Corrected texts as training rows; letters and digits masked on request."""
-    clean = repair_mojibake(F.col("text"))
-    text = mask(clean) if anonymise else clean
-    return labelled.select("id", text.alias("text"), F.lit(anonymise).alias("anonymised"))
+# Correction fields that stand for the whole text.
+TEXT_FIELDS = ("ocr_text", "raw_ocr_text", "normalized_ocr_text", "full_text")
+
+
+def correction_dataset(document: DataFrame, correction: DataFrame, anonymise: bool) -> DataFrame:
+    """Training rows of reviewed documents: corrected text, corrected and previous field maps.
+
+    ``document`` has ``id``, ``kind`` and the parts of an image reference; ``correction`` has ``document_id``,
+    ``field``, ``before_value``, ``after_value`` and ``ord``. Of several corrections of a field the last counts, of all
+    fields that stand for the text the last one; a missing field name means the text. Corrections are reduced to
+    one per document and field before a document's fields meet in its maps. On request letters and digits of
+    values and of the image reference are masked."""
+    hide = (lambda c: mask(c)) if anonymise else (lambda c: c)
+    name = F.coalesce(F.nullif("field", F.lit("")), F.lit("full_text"))
+    slot = F.when(name.isin(*TEXT_FIELDS), F.lit("full_text")).otherwise(name)
+    value = F.struct(F.coalesce("after_value", F.lit("")).alias("after"), F.col("before_value").alias("before"))
+    last = correction.groupBy("document_id", slot.alias("slot")).agg(F.max_by(value, F.struct("ord", "after_value", "before_value")).alias("v"))
+    is_text = F.col("slot") == "full_text"
+    entry = lambda c: F.when(~is_text, F.struct("slot", hide(F.col(f"v.{c}"))))
+    maps = last.groupBy("document_id").agg(
+        F.max(F.when(is_text, hide(F.col("v.after")))).alias("corrected_text"),
+        F.map_from_entries(F.sort_array(F.collect_list(entry("after")))).alias("corrected_fields"),
+        F.map_from_entries(F.sort_array(F.collect_list(entry("before")))).alias("previous_fields"))
+    none = F.create_map().cast("map<string,string>")
+    joined = document.join(maps, document["id"] == maps["document_id"], "left")
+    image = [hide(F.col(c)).alias(c) for c in ("safe_name", "sha256", "object_key") if c in document.columns]
+    return joined.select(
+        "id", F.col("kind").alias("document_type"), *image, "corrected_text", F.coalesce("corrected_fields", none).alias("corrected_fields"),
+        F.coalesce("previous_fields", none).alias("previous_fields"), F.lit("train").alias("split"), F.lit(anonymise).alias("anonymised"))
+
+
+def masked_labels(label: DataFrame) -> DataFrame:
+    """Label payloads (JSON) with all string values masked, a row each."""
+    return label.withColumn("payload", mask_json(F.col("payload")))

@@ -203,34 +203,6 @@ def match_text(value: Column) -> Column:
     return F.trim(F.regexp_replace(marked, r"\s+", " "))
 
 
-def field_scores(expected: DataFrame, predicted: DataFrame) -> DataFrame:
-    """True/false positives and P/R/F1 per field, pooled and averaged.
-
-    Both inputs are long: (sample_id, field, value). A prediction for a field
-    the truth does not list is not judged."""
-    p = predicted.select("sample_id", "field", F.col("value").alias("got"))
-    joined = expected.join(p, ["sample_id", "field"], "left")
-    blank = F.coalesce(F.trim("value"), F.lit("")) == ""
-    digits = lambda c: F.regexp_replace(match_text(F.col(c)), "[^0-9]", "")
-    same = F.when(F.col("field").isin(*MONEY_FIELDS), digits("value") == digits("got")).otherwise(
-        F.contains(match_text(F.col("got")), match_text(F.col("value"))))
-    hit = F.coalesce(~blank & F.col("got").isNotNull() & same, F.lit(False))
-    has = F.coalesce(F.col("got"), F.lit("")) != ""
-    fine = joined.select("field", hit.alias("hit"), blank.alias("blank"), has.alias("has")).groupBy("field").agg(
-        F.count_if("hit").alias("tp"), F.count_if(F.col("has") & ~F.col("hit")).alias("fp"),
-        F.count_if(~F.col("blank") & ~F.col("hit")).alias("fn"))
-
-    def scored(df: DataFrame) -> DataFrame:
-        precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
-        return df.withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
-
-    fields = scored(fine)
-    micro = scored(fine.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).withColumn("field", F.lit("(micro)")))
-    macro = fields.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
-    out = fields.unionByName(micro).unionByName(macro.withColumn("field", F.lit("(macro)")))
-    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
-
-
 def line_item_scores(expected: DataFrame, predicted: DataFrame) -> DataFrame:
     """One-to-one matches on (description, amount): a bag intersection, then P/R/F1."""
     keys = ["sample_id", match_text(F.col("description")).alias("d"), F.regexp_replace("amount", "[^0-9]", "").alias("a")]

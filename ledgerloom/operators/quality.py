@@ -237,26 +237,6 @@ def word_recall(expected: Column, prediction: Column) -> Column:
     return F.when(F.size(want) == 0, empty).otherwise(F.try_divide(F.size(F.array_intersect(want, have)), F.size(want)))
 
 
-def engine_summary(prediction: DataFrame) -> DataFrame:
-    """Attempts, failures and mean quality of each engine in one aggregate."""
-    good = F.col("error_code").isNull()
-    score = F.when(good, cer(F.col("reference"), F.col("prediction")))
-    recall = F.when(good, word_recall(F.col("reference"), F.col("prediction")))
-    rows = prediction.select("engine", "error_code", "latency_ms", "confidence", good.alias("good"),
-                             score.alias("cer"), recall.alias("recall"))
-    wrong = F.col("good") & (F.col("confidence") >= 0.75) & ((F.col("cer") > 0.5) | (F.col("recall") < 0.4))
-    mean = lambda c: F.round(F.avg(F.when(F.col("good"), F.col(c))), 6)
-    return rows.groupBy("engine").agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if("good").alias("succeeded"),
-        F.count_if(~F.col("good")).alias("failed"),
-        F.round(F.count_if(~F.col("good")) / F.count(F.lit(1)), 6).alias("failure_rate"),
-        mean("cer").alias("average_cer"), mean("recall").alias("snippet_recall"),
-        mean("latency_ms").alias("average_latency_ms"), mean("confidence").alias("average_confidence"),
-        F.count_if(wrong).alias("high_confidence_wrong"),
-        F.array_join(F.array_sort(F.collect_set("error_code")), ",").alias("failure_codes"),
-    )
-
-
 def quality_gate(report: DataFrame) -> DataFrame:
     """Pass flag and reasons; a metric the report lacks is not judged, a missing
     error rate fails."""
@@ -311,20 +291,13 @@ def risk_coverage(scored: DataFrame) -> DataFrame:
     rows = scored.where(F.col("confidence").isNotNull()).select(
         "engine", "sample_id", "confidence", F.least("cer", F.lit(1.0)).alias("risk")
     )
-    ranked = groups.positions(
-        rows, ["engine"], [F.desc("confidence"), F.asc("sample_id")],
-        [-F.floor(F.col("confidence") * 1000), -F.col("confidence"), F.floor(F.col("sample_id") / 4_000_000)],
-    )
-    sizes = rows.groupBy("engine").agg(F.count(F.lit(1)).alias("n"))
-    cuts = sizes.select("engine", "n", F.explode(F.array(*[F.lit(c) for c in COVERAGES])).alias("share")).withColumn(
-        "take", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("share"))).cast("long")
-    )
-    # Four cuts per engine: a bounded fan-out.
-    inside = ranked.join(cuts, "engine").where(F.col("position") <= F.col("take"))
-    return inside.groupBy("engine", "share").agg(
-        F.round(F.max("take") / F.max("n"), 6).alias("coverage"), F.round(F.avg("risk"), 6).alias("risk"),
-        F.min("confidence").alias("minimum_confidence"),
-    )
+    ranked = groups.positions(rows, ["engine"], [F.desc("confidence"), F.asc("sample_id")], size="n")
+    cuts = [F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(c))) for c in COVERAGES]
+    inside = [F.col("position") <= cut for cut in cuts]
+    sums = ranked.groupBy("engine").agg(*[F.struct(
+        F.lit(c).alias("share"), F.round(F.max(cut) / F.max("n"), 6).alias("coverage"), F.round(F.avg(F.when(own, F.col("risk"))), 6).alias("risk"),
+        F.min(F.when(own, F.col("confidence"))).alias("minimum_confidence")).alias(f"c{k}") for k, (c, cut, own) in enumerate(zip(COVERAGES, cuts, inside, strict=True))])
+    return sums.select("engine", F.explode(F.array(*[f"c{k}" for k in range(len(COVERAGES))])).alias("cut")).select("engine", "cut.*")
 
 
 def recognition_slices(scored: DataFrame, by: str = "source") -> DataFrame:

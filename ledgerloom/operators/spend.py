@@ -139,7 +139,6 @@ def spend_rank(breakdown: DataFrame, label: str) -> DataFrame:
         breakdown,
         ["workspace_id", "month"],
         [F.desc("total_minor"), F.asc(label)],
-        [-F.floor(F.col("total_minor") / F.lit(1_000_000)), -F.col("total_minor"), F.substring(label, 1, 3)],
         "rank",
     )
 

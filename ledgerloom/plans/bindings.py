@@ -324,11 +324,42 @@ BINDINGS: dict[str, str] = {
                  || chr(10) || 'xx' || chr(10) || 'xx xx' || chr(10) || 'xx xx' || chr(10) || 'xx'
                WHEN 10 THEN '20240101.123456 islem ' || ma || chr(10) || 'Tutar islem no 123456' || chr(10) || 'Toplam referans 777' || chr(10) || d
                ELSE 'Market ' || seg || chr(10) || 'Fis no 77' || CAST(k AS STRING) || chr(10) || 'Tarih 13' || '/25/2024' || chr(10) || d || ' kasa' || chr(10)
-                 || 'Elma  %08 ' || ma || chr(10) || chr(10) || chr(10) || chr(10) || 'KDV dahil toplam ' || ma || ' TRY' || chr(10) || 'sa4t ' || clock END AS text
+                 || 'Elma  %08 ' || ma || chr(10) || chr(10) || chr(10) || chr(10) || 'KDV dahil toplam ' || ma || ' TRY' || chr(10) || 'sa4t ' || clock END AS text,
+               seg, d, ma, mb, msub, mtax, mt
         FROM receipt_money""",
     "ocr_text": """
         SELECT doc_id, engine, confidence, text FROM receipt
         UNION ALL SELECT doc_id + 1000000000000 AS doc_id, 'TESSERACT' AS engine, (n_chars % 100) / 100.0E0 AS confidence, text FROM documents""",
+    # What the receipts of the orders say, as truth beside their text; some truth is missing or blank.
+    "scan": """
+        SELECT doc_id, v, replace(replace(text, 'Urun', 'Ürün'), 'Satici', 'Satıcı') AS reference,
+               CASE WHEN v IN (1, 5) THEN 'invoice' WHEN v IN (0, 3, 4, 11) THEN 'receipt' ELSE 'unknown' END AS document_type,
+               CASE v WHEN 0 THEN seg || ' MARKET LTD' WHEN 1 THEN seg || ' A.S.' WHEN 3 THEN seg || ' MARKET' WHEN 8 THEN seg ELSE NULL END AS t_merchant,
+               CASE WHEN d = '' OR doc_id % 7 = 3 THEN NULL ELSE substr(d, 7, 4) || '-' || substr(d, 4, 2) || '-' || substr(d, 1, 2) END AS t_date,
+               CASE WHEN v IN (0, 1, 3) THEN mt WHEN v IN (4, 11) THEN ma ELSE NULL END AS t_total,
+               CASE WHEN v IN (0, 1, 3, 4) THEN mtax WHEN v = 8 THEN ' ' ELSE NULL END AS t_tax,
+               CASE WHEN v IN (0, 1, 4) THEN msub ELSE NULL END AS t_subtotal,
+               CASE v WHEN 0 THEN 'KART' WHEN 3 THEN 'NAKIT' ELSE NULL END AS t_payment,
+               CASE v WHEN 0 THEN 'SUT' WHEN 1 THEN 'Hizmet bedeli' WHEN 5 THEN 'Kablo' WHEN 11 THEN 'Elma' ELSE NULL END AS item1, ma AS amount1,
+               CASE v WHEN 0 THEN 'Ekmek' WHEN 1 THEN 'Danismanlik' ELSE NULL END AS item2, mb AS amount2
+        FROM receipt""",
+    "scan_run": """
+        SELECT doc_id AS sample_id, 'alpha' AS engine, v, document_type, t_merchant, t_date, t_total, t_tax, t_subtotal, t_payment, item1, amount1, item2, amount2, reference,
+               CASE doc_id % 4 WHEN 0 THEN replace(reference, ',', '.') WHEN 1 THEN replace(replace(reference, 'TOPLAM', 'TOPL4M'), 'ı', 'i')
+                 WHEN 2 THEN reference ELSE replace(replace(reference, '%', ''), ' x ', ' ') END AS prediction,
+               (doc_id * 37 % 101) / 100.0E0 AS confidence, doc_id % 900 AS latency_ms, CASE WHEN doc_id % 50 = 0 THEN 'TIMEOUT' ELSE NULL END AS error_code,
+               CASE WHEN doc_id % 6 = 0 THEN 'LOW_CONFIDENCE' WHEN doc_id % 10 = 1 THEN 'LOW_CONFIDENCE,NO_TOTAL' ELSE '' END AS warnings
+        FROM scan
+        UNION ALL
+        SELECT doc_id AS sample_id, 'beta' AS engine, v, document_type, t_merchant, t_date, t_total, t_tax, t_subtotal, t_payment, item1, amount1, item2, amount2, reference,
+               CASE WHEN doc_id % 5 = 0 THEN translate(reference, '0123456789eaoEAO', 'OI2E4S678qpcuwxyz') WHEN doc_id % 5 = 1 THEN '' ELSE translate(reference, '5ürN', '6urM') END AS prediction,
+               CASE WHEN doc_id % 9 = 0 THEN NULL ELSE (doc_id * 53 % 97) / 96.0E0 END AS confidence, doc_id % 400 AS latency_ms,
+               CASE WHEN doc_id % 70 = 0 THEN 'EMPTY' ELSE NULL END AS error_code, '' AS warnings
+        FROM scan
+        UNION ALL
+        SELECT doc_id AS sample_id, 'down' AS engine, v, document_type, t_merchant, t_date, t_total, t_tax, t_subtotal, t_payment, item1, amount1, item2, amount2, reference,
+               '' AS prediction, NULL AS confidence, doc_id % 3 AS latency_ms, 'FILE_NOT_FOUND' AS error_code, '' AS warnings
+        FROM scan WHERE doc_id % 10 = 0""",
     "field_patch": """
         SELECT l_orderkey AS doc_id, l_partkey * 10 + l_linenumber AS patch_id, max(l_shipdate) AS patched_at,
                CASE l_linenumber WHEN 1 THEN 'merchant' WHEN 2 THEN 'date' WHEN 3 THEN 'total_minor' WHEN 4 THEN 'tax_minor'

@@ -8,7 +8,7 @@ from .registry import ORACLES, QUERIES
 
 MODULES = (
     "spend_queries", "lifecycle_queries", "operations_queries", "extraction_queries", "quality_queries",
-    "curation_queries", "category_queries", "stream_queries", "line_queries",
+    "curation_queries", "category_queries", "stream_queries", "line_queries", "benchmark_queries", "corpus_queries",
 )
 
 

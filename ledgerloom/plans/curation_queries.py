@@ -162,19 +162,50 @@ def _(t):
     return cu.reading_order(cu.normalise_boxes(t.raw_box))
 
 
-@query("box_pairs", with_bindings(
-    """SELECT doc_id, truth, pred, round(o / (a + b - o), 6) AS iou FROM (SELECT t.doc_id, t.ord AS truth, p.ord AS pred, (least(t.x2, p.x2) - greatest(t.x1, p.x1)) * (least(t.y2, p.y2) - greatest(t.y1, p.y1)) AS o,
-      (t.x2 - t.x1) * (t.y2 - t.y1) AS a, (p.x2 - p.x1) * (p.y2 - p.y1) AS b FROM box t JOIN box p ON p.doc_id = t.doc_id AND t.kind = 'truth' AND p.kind = 'pred'
-      AND least(t.x2, p.x2) > greatest(t.x1, p.x1) AND least(t.y2, p.y2) > greatest(t.y1, p.y1))""", BOX))
+PAIRS = """pair AS (SELECT doc_id, truth, pred, o / (a + b - o) AS iou, o / a AS truth_covered, o / b AS pred_covered FROM (
+    SELECT t.doc_id, t.ord AS truth, p.ord AS pred, (least(t.x2, p.x2) - greatest(t.x1, p.x1)) * (least(t.y2, p.y2) - greatest(t.y1, p.y1)) AS o, (t.x2 - t.x1) * (t.y2 - t.y1) AS a, (p.x2 - p.x1) * (p.y2 - p.y1) AS b
+    FROM (SELECT * FROM box WHERE kind = 'truth') t JOIN (SELECT * FROM box WHERE kind = 'pred') p USING (doc_id)
+    WHERE least(t.x2, p.x2) > greatest(t.x1, p.x1) AND least(t.y2, p.y2) > greatest(t.y1, p.y1)))"""
+JUDGED = """SELECT *, bool_or(hit) OVER (PARTITION BY doc_id, truth) OR bool_or(hit) OVER (PARTITION BY doc_id, pred) AS gone FROM (SELECT doc_id, truth, pred, iou,
+    row_number() OVER (PARTITION BY doc_id, truth ORDER BY iou DESC, pred) = 1 AND row_number() OVER (PARTITION BY doc_id, pred ORDER BY iou DESC, truth) = 1 AS hit FROM {0})"""
+DETECTION = (
+    BOX, PAIRS, "close AS (SELECT * FROM pair WHERE iou >= 0.5)",
+    f"rounds AS ( {JUDGED.format('close')} UNION ALL {JUDGED.format('(SELECT * FROM rounds WHERE NOT gone)')})",
+    "matched AS (SELECT * FROM rounds WHERE hit)",
+    """detection AS (SELECT doc_id, truths, preds, m AS matched, truths - m AS missed, preds - m AS duplicates, coalesce(g.merged, 0) AS merged, coalesce(s.split, 0) AS split,
+      round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(coalesce(mean_iou, 0), 6) AS mean_iou, round(coalesce(median_iou, 0), 6) AS median_iou,
+      round(coalesce(kept / pairs, 1), 6) AS order_accuracy
+    FROM (SELECT *, coalesce(n, 0) AS m, CASE WHEN preds = 0 THEN CASE WHEN truths = 0 THEN 1 ELSE 0 END ELSE coalesce(n, 0) / preds END AS p, CASE WHEN truths = 0 THEN CASE WHEN preds = 0 THEN 1 ELSE 0 END ELSE coalesce(n, 0) / truths END AS r FROM (
+        SELECT doc_id, count(*) FILTER (WHERE kind = 'truth') AS truths, count(*) FILTER (WHERE kind = 'pred') AS preds FROM box GROUP BY doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS n, avg(iou) AS mean_iou, quantile_cont(iou, 0.5) AS median_iou FROM matched GROUP BY doc_id) USING (doc_id)) b
+    LEFT JOIN (SELECT doc_id, count(*) AS merged FROM (SELECT doc_id, pred FROM pair WHERE truth_covered >= 0.5 GROUP BY doc_id, pred HAVING count(*) >= 2) GROUP BY doc_id) g USING (doc_id)
+    LEFT JOIN (SELECT doc_id, count(*) AS split FROM (SELECT doc_id, truth FROM pair WHERE pred_covered >= 0.5 GROUP BY doc_id, truth HAVING count(*) >= 2) GROUP BY doc_id) s USING (doc_id)
+    LEFT JOIN (SELECT x.doc_id, count(*) AS pairs, count(*) FILTER (WHERE x.pred < y.pred) AS kept FROM matched x JOIN matched y ON x.doc_id = y.doc_id AND x.truth < y.truth GROUP BY x.doc_id) o USING (doc_id))""",
+)
+
+
+def recursive(body: str, *steps: str) -> str:
+    return with_bindings(body, *steps).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("box_pairs", with_bindings("SELECT doc_id, truth, pred, round(iou, 6) AS iou FROM pair", BOX, PAIRS))
 def _(t):
-    return cu.box_pairs(cu.normalise_boxes(t.raw_box)).withColumn("iou", F.round("iou", 6))
+    return cu.box_pairs(cu.normalise_boxes(t.raw_box)).select("doc_id", "truth", "pred", F.round("iou", 6).alias("iou"))
 
 
-@query("box_detection_scores")
+@query("box_detection_scores", recursive("SELECT * FROM detection", *DETECTION))
 def _(t):
     return cu.box_detection_scores(cu.normalise_boxes(t.raw_box))
 
 
+@query("box_detection_summary", recursive(
+    """SELECT *, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM (SELECT * , matched / (matched + duplicates) AS p, matched / (matched + missed) AS r FROM (
+      SELECT count(*) AS documents, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(duplicates) AS BIGINT) AS duplicates, CAST(sum(merged) AS BIGINT) AS merged,
+        CAST(sum(split) AS BIGINT) AS split, round(avg(mean_iou), 6) AS mean_iou, round(quantile_cont(median_iou, 0.5), 6) AS median_iou, round(avg(order_accuracy), 6) AS order_accuracy FROM detection))""".replace("SELECT *, round(p", "SELECT * EXCLUDE (p, r), round(p"), *DETECTION))
+def _(t):
+    return cu.detection_summary(cu.box_detection_scores(cu.normalise_boxes(t.raw_box)))
+
+
 @query("content_dedupe", with_bindings(
     """SELECT id, tenant_id, sha256(text) AS sha256, min(id) OVER w AS survivor_id, id <> min(id) OVER w AS duplicate FROM document_file
     WINDOW w AS (PARTITION BY tenant_id, sha256(text))"""))
@@ -202,7 +233,38 @@ def _(t):
         t.conversations.select(F.col("conv_id").alias("id"), "text", "role").withColumns(flags(True, False)))
 
 
+MASK = "regexp_replace(regexp_replace({0}, '\\p{{Nd}}', '0', 'g'), '\\p{{L}}', 'X', 'g')"
+CORRECTED = """correction AS (SELECT o_orderkey % 200 AS document_id, CASE o_orderkey % 6 WHEN 0 THEN 'full_text' WHEN 1 THEN 'ocr_text' WHEN 2 THEN NULL WHEN 3 THEN 'merchant' WHEN 4 THEN 'total' ELSE 'date' END AS field,
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'Old ' || o_custkey END AS before_value, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus || o_custkey || ' Ünal' END AS after_value, o_orderkey AS ord FROM orders)"""
+
+
+def corrections(t):
+    key = F.col("o_orderkey")
+    field = F.element_at(F.array(F.lit("full_text"), F.lit("ocr_text"), F.lit(None).cast("string"), F.lit("merchant"), F.lit("total"), F.lit("date")), (key % 6 + 1).cast("int"))
+    return t.orders.select(
+        (key % 200).alias("document_id"), field.alias("field"), F.when(key % 7 != 0, F.concat(F.lit("Old "), F.col("o_custkey").cast("string"))).alias("before_value"),
+        F.when(key % 11 != 0, F.concat("o_orderstatus", F.col("o_custkey").cast("string"), F.lit(" Ünal"))).alias("after_value"), key.alias("ord"))
+
+
+def listed(fields: str):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("?")))), ",")
+
+
 @query("correction_dataset", with_bindings(
-    r"""SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\p{Nd}', '0', 'g'), '\p{L}', 'X', 'g') AS text, TRUE AS anonymised FROM documents"""))
+    f"""SELECT d.id, d.kind AS document_type, {MASK.format('d.safe_name')} AS safe_name, {MASK.format('max(CASE WHEN slot = ' + "'full_text'" + ' THEN after_value END)')} AS corrected_text,
+      coalesce(string_agg(slot || '=' || {MASK.format('after_value')}, ',' ORDER BY slot) FILTER (WHERE slot <> 'full_text'), '') AS corrected_fields,
+      coalesce(string_agg(slot || '=' || coalesce({MASK.format('before_value')}, '?'), ',' ORDER BY slot) FILTER (WHERE slot <> 'full_text'), '') AS previous_fields, 'train' AS split, TRUE AS anonymised
+    FROM document_file d LEFT JOIN (SELECT document_id, slot, coalesce(after_value, '') AS after_value, before_value FROM (
+      SELECT *, row_number() OVER (PARTITION BY document_id, slot ORDER BY ord DESC) AS r FROM (SELECT *, CASE WHEN field IS NULL OR field = 'ocr_text' THEN 'full_text' ELSE field END AS slot FROM correction)) WHERE r = 1) l ON l.document_id = d.id
+    GROUP BY d.id, d.kind, d.safe_name""", CORRECTED))
+def _(t):
+    rows = cu.correction_dataset(t.document_file.select("id", "kind", "safe_name"), corrections(t), True)
+    return rows.withColumns({"corrected_fields": listed("corrected_fields"), "previous_fields": listed("previous_fields")})
+
+
+@query("masked_labels", with_bindings(
+    f"""SELECT id, '{{"role": "' || {MASK.format('role')} || '", "turn": ' || turn || ', "words": ["' || {MASK.format('substr(translate(text, chr(10) || chr(34) || chr(92), ' + "'  '" + '), 1, 40)')} || '", {{"k1": "X0 \\"X\\"", "n": null}}]}}' AS payload FROM annotation"""))
 def _(t):
-    return cu.correction_dataset(t.documents.select(F.col("doc_id").alias("id"), "text"), True)
+    words = F.substring(F.translate("text", '\n"\\', "  "), 1, 40)
+    payload = F.concat(F.lit('{"role": "'), "role", F.lit('", "turn": '), F.col("turn").cast("string"), F.lit(', "words": ["'), words, F.lit('", {"k1": "a1 \\"b\\"", "n": null}]}'))
+    return cu.masked_labels(t.annotation.select("id", payload.alias("payload")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..operators import curation, lines, operations
+from ..operators import curation, lines
 from .bindings import with_bindings
 from .category_queries import routed
 from .extraction_queries import ALL, EVIDENCE, extracted
@@ -90,17 +90,6 @@ def _(t):
     return lines.confidence_rollup(line, page, t.documents.select("doc_id", "text", F.lit(0.9).alias("reliability")))
 
 
-@query("field_scores")
-def _(t):
-    long = extracted(t).select("doc_id", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("field"), F.col(c).cast("string").alias("got"), F.when(F.col("doc_id") % m != 0, F.col(c).cast("string")).alias("want"))
-        for n, c, m in (("total", "total_minor", 4), ("merchant", "merchant", 5), ("tax", "tax_minor", 3))])).alias("f")).select("doc_id", "f.*")
-    expected = long.select(F.col("doc_id").alias("sample_id"), "field", F.col("want").alias("value"))
-    shifted = F.when(F.col("doc_id") % 7 == 0, F.concat("got", F.lit("1"))).otherwise(F.col("got"))
-    predicted = long.where(F.col("got").isNotNull()).select(F.col("doc_id").alias("sample_id"), "field", shifted.alias("value"))
-    return lines.field_scores(expected, predicted)
-
-
 @query("line_item_scores", with_bindings(
     """SELECT CAST(tp AS BIGINT) AS tp, CAST(p - tp AS BIGINT) AS fp, CAST(e - tp AS BIGINT) AS fn, round(tp / p, 6) AS precision, round(tp / e, 6) AS recall, round(2 * tp / (p + e), 6) AS f1 FROM (
       SELECT sum(least(e, p)) AS tp, sum(e) AS e, sum(p) AS p FROM (SELECT k, d, a, sum(e) AS e, sum(p) AS p FROM (
@@ -164,11 +153,3 @@ def _(t):
         text.safe_name(F.concat(F.lit("..Order "), F.col("o_orderkey").cast("string"), F.lit("!..csv"))).alias("safe_name"),
         F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), text.mask(F.concat(F.lit("a12 "), F.col("o_orderpriority"))).alias("masked"),
         dates.parse_mixed_date(day).alias("mixed_date"), text.repair_mojibake(F.lit("TÃ¼r")).alias("repaired"))
-
-
-@query("incremental_sources")
-def _(t):
-    columns = ["sample_id", "text"]
-    now = operations.table_fingerprint(t.doc_line, ["source"], columns)
-    before = operations.table_fingerprint(t.doc_line.where("sample_id % 1000 <> 7"), ["source"], columns)
-    return operations.changed_slices(now, before, ["source"])

@@ -107,28 +107,6 @@ def _(t):
     return t.prediction.groupBy("engine").agg(F.round(F.avg(q.snippet_recall(snippets, F.col("prediction"))), 6).alias("snippet_recall"))
 
 
-SUMMARY = f"""words AS (SELECT *, list_distinct({WORDS.format('upper(reference)')}) AS a, list_distinct({WORDS.format('upper(prediction)')}) AS b FROM prediction),
-  rows AS (SELECT *, error_code IS NULL AS good, {CER} AS cer, CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 1 ELSE 0 END ELSE len(list_intersect(a, b)) / len(a) END AS recall FROM words),
-  summary AS (SELECT engine, count(*) AS attempted, count(*) FILTER (WHERE good) AS succeeded, count(*) FILTER (WHERE NOT good) AS failed,
-    round(count(*) FILTER (WHERE NOT good) / count(*), 6) AS failure_rate, round(avg(cer) FILTER (WHERE good), 6) AS average_cer,
-    round(avg(recall) FILTER (WHERE good), 6) AS snippet_recall, round(avg(latency_ms) FILTER (WHERE good), 6) AS average_latency_ms,
-    round(avg(confidence) FILTER (WHERE good), 6) AS average_confidence,
-    count(*) FILTER (WHERE good AND confidence >= 0.75 AND (cer > 0.5 OR recall < 0.4)) AS high_confidence_wrong,
-    string_agg(DISTINCT error_code, ',' ORDER BY error_code) AS failure_codes FROM rows GROUP BY engine)"""
-
-
-@query("engine_summary", with_bindings("SELECT * FROM summary", SUMMARY))
-def _(t):
-    return q.engine_summary(t.prediction)
-
-
-@query("quality_gate", with_bindings(
-    """SELECT engine, reasons = '' AS passed, reasons FROM (SELECT engine, concat_ws(',', CASE WHEN average_cer > 0.35 THEN 'CER_TOO_HIGH' END,
-      CASE WHEN snippet_recall < 0.7 THEN 'SNIPPET_RECALL_TOO_LOW' END, CASE WHEN high_confidence_wrong > 0 THEN 'HIGH_CONFIDENCE_WRONG_OUTPUT' END) AS reasons FROM summary)""", SUMMARY))
-def _(t):
-    return q.quality_gate(q.engine_summary(t.prediction)).withColumn("reasons", F.array_join("reasons", ","))
-
-
 BUCKET = "CASE WHEN confidence < 0.5 THEN '0.00-0.50' WHEN confidence < 0.75 THEN '0.50-0.75' WHEN confidence < 0.9 THEN '0.75-0.90' ELSE '0.90-1.00' END"
 
 

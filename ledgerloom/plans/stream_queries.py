@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import spend
 from ..sources import imports, sinks
-from ..streaming import events as ev
+from ..streaming import alerts, events as ev, publishing
 from .bindings import with_bindings
 from .registry import query
 
@@ -28,11 +28,15 @@ def _(t):
 
 
 @query("outbox_publish", with_bindings(
-    """SELECT topic, aggregate_id AS key, '{"id":"' || id || '","topic":"' || topic || '","tenantId":"' || tenant_id || '","aggregateId":"' || aggregate_id
-      || '","schemaVersion":1,"correlationId":"' || id || '","payload":"{}"}' AS value, id AS event_id
-    FROM outbox WHERE published_at IS NULL AND failure_reason IS NULL"""))
+    """SELECT event_id, CASE WHEN bad THEN topic || '.dlq' ELSE topic END AS topic, key, value, 'x-event-id=' || event_id || ',x-tenant-id=' || tenant_id || ',x-correlation-id=' || event_id || ',x-schema-version=1'
+      || CASE WHEN bad THEN ',x-dead-letter=true' ELSE '' END AS headers, CASE WHEN bad THEN 'DLQ:' || topic || '.dlq:UNKNOWN_TOPIC' END AS failure_reason
+    FROM (SELECT id AS event_id, tenant_id, aggregate_id AS key, t AS topic, t = 'expense.vanished' AS bad, '{"id":"' || id || '","topic":"' || t || '","tenantId":"' || tenant_id || '","aggregateId":"' || aggregate_id
+      || '","schemaVersion":1,"occurredAt":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(created_at) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z","correlationId":"' || id || '","payload":"{}"}' AS value
+      FROM (SELECT *, CASE WHEN id % 50 = 3 THEN 'expense.vanished' ELSE topic END AS t FROM outbox WHERE published_at IS NULL AND failure_reason IS NULL))"""))
 def _(t):
-    return ev.outbox_messages(t.outbox)
+    outbox = t.outbox.withColumn("topic", F.when(F.col("id") % 50 == 3, "expense.vanished").otherwise(F.col("topic")))
+    named = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit("="), h["value"].cast("string"))), ",")
+    return publishing.outgoing(outbox).withColumn("headers", named)
 
 
 @query("dead_letter_route", with_bindings(
@@ -65,6 +69,41 @@ def _(t):
     return ev.held_alerts(ev.rolling_errors(t.request), 4)
 
 
+def alert_changes(t):
+    """Changes of all four rules from requests, outbox, jobs and lag samples."""
+    settled = t.outbox.select(F.when(F.col("failure_reason").isNotNull(), F.col("created_at")).alias("failed_at"),
+                              F.when(F.col("id") % 3 != 0, F.col("created_at") + F.expr("INTERVAL 20 MINUTES")).alias("settled_at"))
+    job = t.job.select(F.when(F.col("status") == "FAILED", F.col("created_at")).alias("failed_at"),
+                       F.when(F.col("id") % 4 != 0, F.col("updated_at")).alias("settled_at"))
+    lag = t.keyed_event.select((F.col("user_id") % 3).cast("string").alias("series"), "ts", (F.col("k") + 30).alias("lag"))
+    changes = alerts.error_changes(t.request)
+    for more in (alerts.failure_changes(settled, "failed_events", "failed_at", "settled_at"), alerts.failure_changes(job, "failed_jobs", "failed_at", "settled_at"), alerts.lag_changes(lag)):
+        changes = changes.unionByName(more)
+    return changes
+
+
+MOVES = (
+    """moved AS (
+      SELECT 'http_5xx' AS rule, unnest([ts, ts + INTERVAL 5 MINUTE]) AS ts, unnest([1, -1]) AS delta FROM request WHERE status_code >= 500
+      UNION ALL SELECT 'failed_events', created_at, 1 FROM outbox WHERE failure_reason IS NOT NULL
+      UNION ALL SELECT 'failed_events', created_at + INTERVAL 20 MINUTE, -1 FROM outbox WHERE failure_reason IS NOT NULL AND id % 3 <> 0
+      UNION ALL SELECT 'failed_jobs', created_at, 1 FROM job WHERE status = 'FAILED'
+      UNION ALL SELECT 'failed_jobs', updated_at, -1 FROM job WHERE status = 'FAILED' AND id % 4 <> 0
+      UNION ALL SELECT 'consumer_lag', ts, above - lag(above, 1, 0) OVER (PARTITION BY series ORDER BY ts) FROM (SELECT user_id % 3 AS series, ts, max(CAST(k + 30 > 100 AS INTEGER)) AS above FROM keyed_event GROUP BY 1, 2))""",
+    "moments AS (SELECT rule, ts, sum(delta) AS delta FROM moved GROUP BY rule, ts)",
+    "levels AS (SELECT *, sum(delta) OVER (PARTITION BY rule ORDER BY ts) AS level, max(ts) OVER (PARTITION BY rule) AS horizon FROM moments)",
+    "edges AS (SELECT *, lead(ts) OVER (PARTITION BY rule ORDER BY ts) AS ended_at FROM levels WHERE (level > 0) <> (level - delta > 0))",
+    """fired AS (SELECT rule, ts AS started_at, ended_at, ts + INTERVAL 1 SECOND * CASE rule WHEN 'http_5xx' THEN 300 WHEN 'consumer_lag' THEN 900 ELSE 600 END AS fires, horizon FROM edges WHERE level > 0)""",
+)
+
+
+@query("held_conditions", with_bindings(
+    """SELECT rule, CAST(started_at AS TIMESTAMP) AS started_at, state, CAST(moment AS TIMESTAMP) AS moment FROM (SELECT rule, started_at, unnest(['firing', 'resolved']) AS state, unnest([fires, ended_at]) AS moment FROM fired
+      WHERE fires < coalesce(ended_at, horizon) OR (ended_at IS NULL AND fires <= horizon)) WHERE moment IS NOT NULL""", *MOVES))
+def _(t):
+    return alerts.held_conditions(alert_changes(t)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "moment")})
+
+
 @query("event_projection", with_bindings(
     """SELECT aggregate_id, CASE arg_max(topic, (created_at, id)) WHEN 'expense.created' THEN 'DRAFT' WHEN 'expense.approved' THEN 'APPROVED' WHEN 'expense.rejected' THEN 'REJECTED' ELSE 'UPDATED' END AS status,
     max(created_at) AS occurred_at, arg_max(id, (created_at, id)) AS event_id, count(*) AS events FROM outbox WHERE topic LIKE 'expense.%' GROUP BY aggregate_id"""))
@@ -105,11 +144,6 @@ def _(t):
     return good
 
 
-@query("file_inventory")
-def _(t):
-    return imports.file_inventory(t.spark, t.sf_dir)
-
-
 @query("safe_csv_sink", with_bindings(
     """SELECT CAST(id AS VARCHAR) AS id, CASE WHEN regexp_matches(label, '^[=+@-]') THEN '''' || label ELSE label END AS label, coalesce(category_id, '') AS category_id,
       CASE WHEN amount < 0 THEN '''' ELSE '' END || CAST(amount AS VARCHAR) AS amount, strftime(occurred_at, '%Y-%m-%dT%H:%M:%S.000Z') AS occurred_at, CAST(reimbursable AS VARCHAR) AS reimbursable

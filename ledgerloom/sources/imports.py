@@ -1,4 +1,4 @@
-"""Readers: ledger CSV imports, JSON lines, annotation corpora, file inventory."""
+"""Readers: ledger CSV imports, JSON lines, numbered lines, annotation corpora."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.money import CURRENCIES, parse_import_amount
 from ..functions.text import parse_flag
@@ -137,30 +137,24 @@ def read_nested_corpus(spark: SparkSession, path: str) -> DataFrame:
                         F.col("line.category").alias("category")).where(F.col("text") != "")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line_no`` (from 0) and ``value`` of all text files below ``path``, large files in many tasks.
+
+    A line's number is its place in the byte range that Spark read plus the lines of the ranges before."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    inside = raw.withColumn("inside", F.row_number().over(W.partitionBy("file", "block").orderBy("id")) - 1)
+    sizes = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    joined = inside.join(sizes.select("file", "block", before.alias("start")), ["file", "block"])
+    return joined.select("file", (F.col("start") + F.col("inside")).cast("int").alias("line_no"), "value")
+
+
 def read_box_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Line rows of a corpus of text files: eight corner numbers, then the text."""
-    raw = spark.read.text(path).withColumn("file", F.input_file_name())
-    parts = raw.withColumn("p", F.split("value", ",", 9)).where(F.size("p") == 9)
-    number = lambda i: F.get("p", F.lit(i)).try_cast("int")
+    parts = numbered_lines(spark, path).withColumn("p", F.split("value", ",", 9)).where(F.size("p") == 9)
+    number = lambda i: F.trim(F.get("p", F.lit(i))).try_cast("int")
     points = F.array(*[F.struct(number(2 * i).alias("x"), number(2 * i + 1).alias("y")) for i in range(4)])
-    rows = parts.select("file", F.trim(F.get("p", F.lit(8))).alias("text"), _corners(points, 3).alias("box"),
+    rows = parts.select("file", "line_no", F.trim(F.get("p", F.lit(8))).alias("text"), _corners(points, 3).alias("box"),
                         F.exists(points, lambda q: q["x"].isNull() | q["y"].isNull()).alias("bad"))
     return rows.where(~F.col("bad") & (F.col("text") != "")).drop("bad")
-
-
-def file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """File count, bytes, split mix and combined checksums per folder below ``path``.
-
-    Every file is digested; equal files cancel in the xor, not in the sum."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    digest = F.sha2("content", 256)
-    lower = F.lower("path")
-    split = F.when(lower.rlike("/(validation|valid|val|dev)/"), "validation").when(lower.rlike("/test/"), "test").when(
-        lower.rlike("/train(ing)?/"), "train").otherwise("unsplit")
-    dataset = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
-    rows = files.select(dataset.alias("dataset"), split.alias("split"), "length", digest.alias("sha"),
-                        F.regexp_extract("path", "[^/]+$", 0).alias("name"))
-    return rows.groupBy("dataset", "split").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.count("sha").alias("hashed"),
-        F.bit_xor(F.xxhash64("name", "sha")).alias("fingerprint"),
-        F.sum(F.xxhash64("name", "sha").cast("decimal(38,0)")).cast("string").alias("fingerprint_sum"))

@@ -104,22 +104,16 @@ def outbox_messages(outbox: DataFrame, include_failed: bool = False) -> DataFram
     """Kafka rows of the pending (optionally failed) events, keyed by aggregate."""
     failed = F.coalesce("failure_reason", F.lit("")) != ""
     pending = F.col("published_at").isNull() & ~failed
+    occurred = [F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("occurredAt")] if "created_at" in outbox.columns else []
     body = F.to_json(F.struct(
         F.col("id").cast("string").alias("id"), "topic", F.col("tenant_id").cast("string").alias("tenantId"),
-        F.col("aggregate_id").alias("aggregateId"), F.lit(1).alias("schemaVersion"),
+        F.col("aggregate_id").alias("aggregateId"), F.lit(1).alias("schemaVersion"), *occurred,
         (F.col("correlation_id") if "correlation_id" in outbox.columns else F.col("id")).cast("string").alias("correlationId"),
         (F.col("payload") if "payload" in outbox.columns else F.lit("{}")).alias("payload")))
     return outbox.where(pending | failed if include_failed else pending).select(
         "topic", F.col("aggregate_id").alias("key"), body.alias("value"), F.col("id").alias("event_id"))
 
 
-def publish(outbox_stream: DataFrame, servers: str, checkpoint: str):
-    """Continuous publisher; progress lives in the checkpoint."""
-    rows = outbox_messages(outbox_stream).select("topic", "key", "value")
-    sink = rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
-    return sink.option("checkpointLocation", checkpoint).start()
-
-
 def dead_letter_route(outbox: DataFrame) -> DataFrame:
     """Failed events as messages on the dead-letter topic of their topic."""
     failed = outbox.where(F.coalesce("failure_reason", F.lit("")) != "")
@@ -148,7 +142,7 @@ def held_alerts(windows: DataFrame, hold_minutes: int = 5) -> DataFrame:
     """Runs of consecutive error windows that lasted at least the hold time."""
     minute = F.floor(F.unix_micros(F.col("window_start").cast("timestamp")) / F.lit(60_000_000)).cast("long")
     firing = windows.where(F.col("errors") > 0).withColumn("__m", minute)
-    numbered = groups.positions(firing, ["route"], [F.asc("__m")], [F.floor(F.col("__m") / 1440)])
+    numbered = groups.positions(firing, ["route"], [F.asc("__m")])
     runs = numbered.groupBy("route", (F.col("__m") - F.col("position")).alias("run")).agg(
         F.min("window_start").alias("started_at"), F.max("window_start").alias("last_at"),
         F.count(F.lit(1)).alias("windows"), F.max("errors").alias("peak_errors"))
