@@ -2,13 +2,16 @@
 
 The symbols of many words lie in one flat array. A round looks all neighbouring pairs up by binary search in
 the sorted pair keys of the merge list, takes the lowest rank of each word and merges that pair wherever it
-stands in the word. Words without a known pair leave the array; the rounds end when none is left."""
+stands in the word. Words without a known pair leave the array; the rounds end when none is left. Very long words
+are merged by a heap of their pairs instead."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,8 @@ from tokenizers import Tokenizer
 from ledgerloom.llm.common import file_bytes, slices, without
 from ledgerloom.llm.pretokens import PieceTable, WordSplitter, byte_letters
 
+#: Bytes of the longest word that is merged in the flat array.
+LONG_WORD = 256
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -40,9 +45,18 @@ class Merges:
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
-        if not words:
-            return []
         raw = [w.encode("utf-8") for w in words]
+        long = [k for k, b in enumerate(raw) if len(b) > LONG_WORD]
+        if long:
+            # a round costs the length of a word and merges one pair of it: long words go by a heap
+            found = iter(self.flat([b for b in raw if len(b) <= LONG_WORD]))
+            return [self.heaped(b) if len(b) > LONG_WORD else next(found) for b in raw]
+        return self.flat(raw)
+
+    def flat(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of short words, all in one flat array."""
+        if not raw:
+            return []
         sizes = np.array([len(b) for b in raw], np.int64)
         data = np.frombuffer(b"".join(raw), np.uint8)
         owner = np.repeat(np.arange(len(raw)), sizes)
@@ -60,6 +74,32 @@ class Merges:
         packed = ids.tobytes()
         return [packed[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
+    @cached_property
+    def by_pair(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+
+    def heaped(self, word: bytes) -> bytes:
+        """Ids of one long word: its pairs wait in a heap by rank and place, merged symbols are linked."""
+        data = np.frombuffer(word, np.uint8)
+        symbols, n = self.inner[data].tolist(), len(data)
+        symbols[-1] = int(self.last[data[-1]])
+        before, behind, ranks, made = list(range(-1, n - 1)), list(range(1, n + 1)), self.by_pair, self.made
+        heap = [(r, k) for k in range(n - 1) if (r := ranks.get(symbols[k] << 32 | symbols[k + 1])) is not None]
+        heapify(heap)
+        while heap:
+            rank, k = heappop(heap)
+            right = behind[k]
+            # a pair is stale when one of its symbols has changed since
+            if symbols[k] is None or right >= n or ranks.get(symbols[k] << 32 | symbols[right]) != rank:
+                continue
+            symbols[k], symbols[right], behind[k] = int(made[rank]), None, behind[right]
+            if behind[k] < n:
+                before[behind[k]] = k
+            for left in (before[k], k):
+                if left >= 0 and behind[left] < n and (r := ranks.get(symbols[left] << 32 | symbols[behind[left]])) is not None:
+                    heappush(heap, (r, left))
+        return np.array([x for x in symbols if x is not None], "<u4").tobytes()
+
     def round(self, symbols: np.ndarray, owner: np.ndarray):
         """One merge in every word that has one; the other words come back as finished."""
         paired = owner[:-1] == owner[1:]

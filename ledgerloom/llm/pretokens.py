@@ -97,6 +97,22 @@ class WordSplitter:
         return [bytes(self.byte_of[c] for c in piece).decode("utf-8") for piece, _ in split]
 
 
+#: Characters of a chunk or pre-token that a worker remembers; longer ones are worked out each time.
+LONGEST_KEPT = 64
+
+
+class Known(dict):
+    """Values by key; a key that is not known is noted and stands for nothing."""
+
+    def __init__(self, values: dict, nothing):
+        super().__init__(values)
+        self.nothing, self.missing = nothing, []
+
+    def __missing__(self, key):
+        self.missing.append(key)
+        return self.nothing
+
+
 class PieceTable:
     """A worker's memory of values of pre-tokens and of chunks, joined to values of whole texts.
 
@@ -110,7 +126,8 @@ class PieceTable:
 
     def forget(self) -> None:
         # a pre-token that is also a chunk has one value, so one table holds both
-        self.known = dict(self.fixed) | {"": self.join([])}
+        nothing = self.join([])
+        self.known = Known(self.fixed | {"": nothing}, nothing)
 
     def plan(self, text: str | None) -> list[tuple]:
         """Parts of a text: (kind, chunks or pre-tokens), or (special, value)."""
@@ -128,16 +145,42 @@ class PieceTable:
         """The values of whole texts, in order."""
         if len(self.known) > self.limit + len(self.fixed):
             self.forget()
-        known, plans = self.known, [self.plan(t) for t in texts]
-        looked = [[(kind, items if kind == "special" else list(map(known.get, items)), items) for kind, items in plan] for plan in plans]
-        chunks, pieces = set(), set()
-        for kind, values, items in (part for parts in looked for part in parts):
-            if kind != "special" and None in values:
-                (chunks if kind == "chunks" else pieces).update(c for c, v in zip(items, values, strict=True) if v is None)
+        plans = [self.plan(t) for t in texts]
+        chunks, pieces, out, missed = set(), set(), [], []
+        for k, plan in enumerate(plans):
+            value, new = self.joined(plan, chunks, pieces)
+            out.append(value)
+            if new:
+                missed.append(k)
+        if missed:
+            passing = self.learn(chunks, pieces)
+            for k in missed:
+                out[k] = self.joined(plans[k], chunks, pieces)[0]
+            for long in passing:
+                del self.known[long]
+        return out
+
+    def joined(self, plan: list[tuple], chunks: set, pieces: set) -> tuple:
+        """The value of a planned text, and whether a chunk or pre-token was not known; those join the sets."""
+        known, parts, new = self.known, [], False
+        for kind, items in plan:
+            if kind == "special":
+                parts.append(items)
+                continue
+            parts.append(self.join(map(known.__getitem__, items)))
+            if known.missing:
+                (chunks if kind == "chunks" else pieces).update(known.missing)
+                known.missing.clear()
+                new = True
+        return (parts[0] if len(parts) == 1 else self.join(parts)), new
+
+    def learn(self, chunks: set, pieces: set) -> list[str]:
+        """Add chunks and pre-tokens that are not known; returns those too long to be kept."""
+        known = self.known
         split = dict(zip(chunks, map(self.splitter.chunk_pieces, chunks), strict=True))
-        new = list(pieces.union(*split.values()) - known.keys())
+        new = [p for p in pieces.union(*split.values()) if p not in known]
         known.update(zip(new, self.encode(new), strict=True))
         value = known.__getitem__
-        known.update([(c, self.join(map(value, ps))) for c, ps in split.items() if c not in known])
-        whole = lambda kind, values, items: values if kind == "special" else self.join(map(value, items) if None in values else values)
-        return [self.join([whole(*part) for part in parts]) for parts in looked]
+        whole = {c: self.join(map(value, ps)) for c, ps in split.items() if c not in known}
+        known.update(whole)
+        return [k for k in (*new, *whole) if len(k) > LONGEST_KEPT]

@@ -5,6 +5,7 @@ import hashlib
 import html
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -335,3 +336,23 @@ def test_pipeline_stages_take_what_the_one_before_kept(spark, odd):
         assert kept <= {r["doc_id"] for r in before.select("doc_id").collect()} and len(kept) > 0.5 * before.count()
         before = after.cache()
     assert corpus_pipeline.run(spark, SF).where(F.col("n_tokens") <= 0).count() == 0
+
+
+def test_long_words_are_merged_fast_and_like_the_library(spark):
+    """A word of 100,000 letters takes no rounds times length, and no worker remembers it."""
+    rng, library = np.random.default_rng(4), {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
+    texts = ["".join("abcdeou"[x] for x in rng.integers(0, 7, n)) for n in (257, 300, 5_000, 100_000)] + ["a" * 3_000, "é" * 700, "x" + "ab" * 400 + " tail"]
+    start = time.time()
+    for path, splitter in ((WORD, bpe.WordSplitter), (BYTE, token_store.ByteSplitter)):
+        with open(path, "rb") as file:
+            table = bpe.id_table(file.read(), splitter)
+        got = [np.frombuffer(b, "<u4").tolist() for b in table.values(texts)]
+        assert got == [library[path].encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(map(len, table.known)) <= 64
+    assert time.time() - start < 30
+
+
+def test_quality_weights_do_not_follow_the_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    few, many = (quality_model.train(docs.repartition(n), labels) for n in (4, 211))
+    assert np.array_equal(few, many) and np.count_nonzero(few) > 10
