@@ -86,7 +86,7 @@ def read_corpora(spark: SparkSession, nested_path: str, box_path: str, entity_pa
 
 
 def file_names(spark: SparkSession, path: str) -> DataFrame:
-    """``file``, ``length`` and ``modified`` of all files below ``path``; no content is read."""
+    """``file``, ``length`` and ``modified`` of all files with a byte below ``path``; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("path").alias("file"), "length", F.col("modificationTime").alias("modified"))
 
@@ -101,15 +101,20 @@ def metadata_fingerprint(files: DataFrame, root: str, *keys: Column) -> DataFram
 def combined(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """``digest`` of each ``keys``: a tree over ``nodes`` (keys, ``at``, ``digest``), ``FAN`` neighbours a node.
 
-    A node is the digest of its children's digests in order, so no row ever holds more than ``FAN`` of them.
-    The height follows from the largest ``at``."""
-    top = nodes.agg(F.max("at")).first()[0] or 0
-    while True:
+    A node is the digest of its children's digests in order, so no row ever holds more than ``FAN`` of them. A
+    tree is as high as its own largest ``at`` asks for, one level at least, whatever trees stand beside it."""
+    tops = nodes.groupBy(*keys).agg(F.max("at").alias("top"))
+    largest, height = tops.agg(F.max("top")).first()[0] or 0, 1
+    while FAN**height <= largest:
+        height += 1
+    left = sum(((F.col("top") >= FAN**k).cast("int") for k in range(1, height)), F.lit(1))
+    nodes = groups.join_null_safe(nodes, tops.withColumn("left", left).drop("top"), keys, "inner")
+    for _ in range(height):
+        children = F.sort_array(F.collect_list(F.struct("at", "digest")))
+        joined = F.sha2(F.array_join(F.transform(children, lambda x: x["digest"]), ""), 256)
         nodes = nodes.groupBy(*keys, F.floor(F.col("at") / FAN).alias("at")).agg(
-            F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
-        top //= FAN
-        if not top:
-            return nodes.drop("at")
+            F.when(F.max("left") > 0, joined).otherwise(F.max("digest")).alias("digest"), (F.max("left") - 1).alias("left"))
+    return nodes.select(*keys, "digest")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -139,7 +144,7 @@ def file_inventory(spark: SparkSession, path: str, dataset: str = r"/([^/]+)/[^/
     """Files, bytes, lines, split mix and content digest of every dataset below ``path``.
 
     ``dataset`` takes a dataset's name from a file's path. The digest covers lengths and contents of its files in
-    the order of their own digests; empty files count by their length alone."""
+    the order of their own digests. Files without a byte are not counted, as Spark's readers skip them."""
     names = file_names(spark, path).select(F.regexp_replace("file", "^file:/+", "/").alias("file"), "length")
     digests = file_digests(spark, path).withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
     files = names.join(digests.select("file", "lines", "digest"), "file", "left").select(

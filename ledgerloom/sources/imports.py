@@ -128,7 +128,7 @@ LINE_SCHEMA = (
 
 def read_nested_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Line rows of a corpus with one JSON object per file: lines of word quads."""
-    files = spark.read.schema(LINE_SCHEMA).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    files = spark.read.schema(LINE_SCHEMA).json(path, multiLine=True, recursiveFileLookup=True).withColumn("file", F.input_file_name())
     lines = files.select("file", F.posexplode("valid_line").alias("line_no", "line"))
     words = F.filter(F.transform("line.words", lambda w: F.trim(w["text"])), lambda w: w != "")
     points = F.flatten(F.transform("line.words", lambda w: F.array(*[
