@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    HashingTF, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, StandardScaler, StringIndexer, VectorAssembler,
+    HashingTF, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -94,72 +94,6 @@ def category_score(model, sample: DataFrame, label: str = "category_id", n: int
     return scored.select("id", label, ranked.alias("candidates")).withColumn("predicted", F.get("candidates", F.lit(0))["category"])
 
 
-def pair_features(pair: DataFrame) -> DataFrame:
-    """Text statistics and ratios of two competing readings of one line."""
-
-    def stats(c: str) -> dict[str, Column]:
-        text = F.col(f"{c}_text")
-        size = F.greatest(F.length(text), F.lit(1))
-        share = lambda p: F.round(F.length(F.regexp_replace(text, p, "")) / size, 6)
-        words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
-        return {
-            f"{c}_length": F.length(text).cast("double"), f"{c}_words": F.size(words).cast("double"),
-            f"{c}_alnum": share(r"[^\p{L}\p{N}]"), f"{c}_digits": share("[^0-9]"), f"{c}_upper": share(r"[^\p{Lu}]"),
-            f"{c}_repeat": F.round(F.lit(1.0) - F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)), 6),
-        }
-
-    a, b = F.col("champion_text"), F.col("challenger_text")
-    longest = F.greatest(F.length(a), F.length(b), F.lit(1))
-    both = {
-        "distance": F.round(F.levenshtein(a, b) / longest, 6),
-        "length_ratio": F.round(F.length(b) / F.greatest(F.length(a), F.lit(1)), 6),
-        "confidence_gap": F.round(F.col("challenger_confidence") - F.col("champion_confidence"), 6),
-        "general_role": F.when(F.col("line_role") == "general_text", 1.0).otherwise(0.0),
-    }
-    return pair.withColumns({**stats("champion"), **stats("challenger"), **both})
-
-
-PAIR_FEATURES = [f"{c}_{s}" for c in ("champion", "challenger") for s in ("length", "words", "alnum", "digits", "upper", "repeat")] + [
-    "distance", "length_ratio", "confidence_gap", "general_role"]
-
-
-def router_train(pair: DataFrame, folds: int = 5) -> DataFrame:
-    """Out-of-fold probability that the challenger is better, folds by document.
-
-    The fits read the features many times, so the numbers alone are kept; lost
-    blocks are recomputed."""
-    rows = pair.select(
-        "doc_id", "champion_cer", "challenger_cer", *PAIR_FEATURES,
-        F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"),
-        (F.col("challenger_cer") + 0.02 < F.col("champion_cer")).cast("double").alias("label"),
-    ).persist()
-    scored = None
-    for fold in range(folds):
-        model = Pipeline(stages=[
-            VectorAssembler(inputCols=PAIR_FEATURES, outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-            LogisticRegression(maxIter=20, regParam=0.01),
-        ]).fit(rows.where(F.col("fold") != fold))
-        part = model.transform(rows.where(F.col("fold") == fold)).withColumn(
-            "probability", vector_to_array("probability")[1]).drop("raw", "features", "rawPrediction", "prediction")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
-
-
-def router_thresholds(scored: DataFrame, steps: int = 20, minimum: int = 20) -> DataFrame:
-    """Threshold grid: selected rows, wins and regressions, and which are allowed.
-
-    Rows are summed per probability step before the grid is applied."""
-    step = F.floor(F.col("probability") * steps)
-    sums = scored.groupBy(step.alias("step")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("challenger_cer") + 0.02 < F.col("champion_cer")).alias("w"),
-        F.count_if(F.col("champion_cer") + 0.02 < F.col("challenger_cer")).alias("r"))
-    reached = sums.withColumn("threshold", F.explode(F.sequence(F.lit(0).cast("long"), "step")))
-    out = reached.groupBy("threshold").agg(F.sum("n").alias("selected"), F.sum("w").alias("wins"), F.sum("r").alias("regressions"))
-    return out.withColumn("threshold", F.col("threshold") / steps).withColumn(
-        "allowed", (F.col("selected") >= minimum) & (F.col("regressions") == 0))
-
-
 def router_report(scored: DataFrame, threshold: float) -> DataFrame:
     """Errors of champion, challenger and the routed mix at one threshold."""
     chosen = F.col("probability") >= threshold

@@ -190,6 +190,72 @@ def _unequal_pairs(references: list[str], predictions: list[str]) -> list[tuple[
     return out
 
 
+#: Cells of a cost table that is kept whole; longer pairs are aligned in a band.
+WHOLE_CELLS = 4_000_000
+
+
+def _band_row(previous: np.ndarray, letter: int, hyp: np.ndarray, first: int) -> np.ndarray:
+    """The next row of costs in the band: place b of row i stands for column first + b, one more than in the row before."""
+    width, far = len(previous), np.int32(1 << 30)
+    columns = np.arange(first, first + width)
+    inside = (columns >= 0) & (columns <= len(hyp))
+    other = np.ones(width, np.int32)
+    real = (columns >= 1) & (columns <= len(hyp))
+    other[real] = hyp[columns[real] - 1] != letter
+    best = np.where(real, previous + other, far)
+    best[:-1] = np.minimum(best[:-1], previous[1:] + 1)
+    best[~inside] = far
+    steps = np.arange(width, dtype=np.int32)
+    row = np.minimum.accumulate(best - steps) + steps
+    row[~inside] = far
+    return np.minimum(row, far)
+
+
+def _long_unequal(reference: str, prediction: str) -> list[tuple[int, int]]:
+    """Unequal character pairs of two long texts along the alignment that the whole table would give.
+
+    A cheapest alignment of cost c never leaves the diagonals -c to c, so a band that is at least as wide as the
+    cost found in it is exact; it is doubled until it is. Every k-th row of the band is kept and the rows between
+    are worked out again on the way back, k about the root of the length: memory is band times root, not the product."""
+    ref, hyp = (np.frombuffer(t.encode("utf-32-le"), dtype=np.int32) for t in (reference, prediction))
+    n, m = len(ref), len(hyp)
+    band = max(abs(n - m) + 1, 32)
+    every = max(1, int(n**0.5))
+    while True:
+        columns = np.arange(-band, band + 1)
+        row = np.where((columns >= 0) & (columns <= m), columns, 1 << 30).astype(np.int32)
+        kept = {0: row}
+        for i in range(1, n + 1):
+            row = _band_row(row, ref[i - 1], hyp, i - band)
+            if i % every == 0:
+                kept[i] = row
+        cost = int(row[m - n + band])
+        if cost <= band or band >= max(n, m):
+            break
+        band *= 2
+    out, i, j, rows, start = [], n, m, [], -1
+    while i > 0 or j > 0:
+        if start < 0 or i - 1 < start:
+            start = max(0, (i - 1) // every * every) if i else 0
+            rows = [kept[start]]
+            for k in range(start + 1, min(start + every, n) + 1):
+                rows.append(_band_row(rows[-1], ref[k - 1], hyp, k - band))
+        here = rows[i - start][j - i + band]
+        equal = i > 0 and j > 0 and ref[i - 1] == hyp[j - 1]
+        above = rows[i - 1 - start] if i > 0 else None
+        if i > 0 and j > 0 and here == above[j - i + band] + (not equal):
+            if not equal:
+                out.append((int(ref[i - 1]), int(hyp[j - 1])))
+            i, j = i - 1, j - 1
+        elif i > 0 and j - i + 1 + band < len(above) and here == above[j - i + 1 + band] + 1:
+            out.append((int(ref[i - 1]), -1))
+            i -= 1
+        else:
+            out.append((-1, int(hyp[j - 1])))
+            j -= 1
+    return out
+
+
 def char_confusions(prediction: DataFrame) -> DataFrame:
     """Counts of (reference, predicted) character pairs that differ. The traceback
     has no built-in; each batch is summed before it leaves Python."""
@@ -197,11 +263,14 @@ def char_confusions(prediction: DataFrame) -> DataFrame:
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.assign(cells=(batch["reference"].str.len() + 1) * (batch["prediction"].str.len() + 1))
-            batch = batch.sort_values("cells")
             counts: dict[tuple[str, str, str], int] = {}
-            start = 0
+            for row in batch[batch["cells"] > WHOLE_CELLS].itertuples():
+                for r, h in _long_unequal(row.reference, row.prediction):
+                    key = (row.engine, "<inserted>" if r < 0 else chr(r), "<deleted>" if h < 0 else chr(h))
+                    counts[key] = counts.get(key, 0) + 1
+            batch, start = batch[batch["cells"] <= WHOLE_CELLS].sort_values("cells"), 0
             while start < len(batch):
-                size = max(1, min(512, 4_000_000 // int(batch["cells"].iloc[min(start + 511, len(batch) - 1)])))
+                size = max(1, min(512, WHOLE_CELLS // int(batch["cells"].iloc[min(start + 511, len(batch) - 1)])))
                 part = batch.iloc[start : start + size]
                 start += size
                 engines = part["engine"].tolist()
