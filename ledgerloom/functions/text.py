@@ -99,6 +99,18 @@ def repair_mojibake(text: Column, markers: str = "ÂÃÄÅ") -> Column:
     return F.coalesce(F.try_validate_utf8(raw.cast("string")), text)
 
 
+# Letters that speak for a text and marks that speak against it.
+TEXT_LETTERS, TEXT_MARKS = "çğıİöşüÇĞÖŞÜ", "ÃÄÅÂ"
+
+
+def repair_mojibake_scored(text: Column) -> Column:
+    """The re-decoded text where it scores better than the text itself: letters gained, marks lost."""
+    score = lambda c: F.regexp_count(c, F.lit(f"[{TEXT_LETTERS}]")) - F.regexp_count(c, F.lit(f"[{TEXT_MARKS}]"))
+    raw = F.when(~text.rlike("[^\u0000-ÿ]"), F.encode(text, "ISO-8859-1"))
+    repaired = F.try_validate_utf8(raw.cast("string"))
+    return F.when(score(repaired) > score(text), repaired).otherwise(text)
+
+
 def clamp_round4(value: Column) -> Column:
     """Clamp to 0..1 and round half up to four decimals."""
     # least and greatest skip nulls, so a missing value is kept apart.

@@ -87,8 +87,10 @@ def reason_counts(hardcases: DataFrame) -> DataFrame:
 
 
 def hardcase_merge(base: DataFrame, mined: DataFrame) -> DataFrame:
-    """Mined rows joined into the base by identity: reasons united, weights capped 1..4."""
-    identity = ["source", "split", "image", "text_key"]
+    """Mined rows joined into the base by identity: reasons united, weights capped 1..4.
+
+    Rows with a ``crop`` box are the same only where their boxes are; a row without one matches its like."""
+    identity = ["source", "split", "image", *(["crop"] if "crop" in base.columns else []), "text_key"]
     key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
     both = base.unionByName(mined).withColumn("text_key", key)
     # Reasons are a short fixed vocabulary, so the set per identity stays small.
@@ -143,11 +145,36 @@ def weighted_shares(weighted: DataFrame) -> DataFrame:
     return joined.select("kind", "value", F.round(F.col("w") / F.col("__all"), 6).alias("share"))
 
 
-def dataset_mix(manifest: DataFrame) -> DataFrame:
-    """Row counts by source, split and language from one aggregate."""
-    fine = manifest.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("source", "split")])
-    return fine.select(F.explode(parts).alias("p"), "n").groupBy("p.kind", "p.value").agg(F.sum("n").alias("count"))
+def dataset_mix(manifest: DataFrame, columns: tuple[str, ...] = ("source", "split", "document_type", "level"), lists: tuple[str, ...] = ("reasons", "labels")) -> DataFrame:
+    """Row counts by every value of ``columns`` and every member of the arrays ``lists``, as far as they are there.
+
+    Rows are counted per combination of the plain columns first; members of arrays count once a row."""
+    columns = [c for c in columns if c in manifest.columns]
+    fine = manifest.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.array(*[F.struct(F.lit(c).alias("kind"), F.coalesce(F.col(c), F.lit("unknown")).alias("value")) for c in columns])
+    counts = fine.select(F.explode(parts).alias("p"), "n").groupBy("p.kind", "p.value").agg(F.sum("n").alias("count"))
+    for name in [c for c in lists if c in manifest.columns]:
+        members = manifest.select(F.explode(F.array_distinct(name)).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+        counts = counts.unionByName(members.select(F.lit(name).alias("kind"), "value", "count"))
+    return counts
+
+
+def bounded_split_sample(rows: DataFrame, samples: int, seed: int, share: float = 0.15) -> DataFrame:
+    """At most ``samples`` rows of both splits, ``share`` of them validation, each split balanced over its sources.
+
+    A split that is short gives its places to the other. Both splits must have rows."""
+    sizes = {r["split"]: r["n"] for r in rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).where(F.col("split").isin("train", "validation")).collect()}
+    train, validation = sizes.get("train", 0), sizes.get("validation", 0)
+    if not train or not validation or samples <= 0:
+        raise ValueError("a bounded sample needs a positive size and rows of both splits")
+    if train + validation > samples:
+        held = max(1, min(validation, round(samples * share)))
+        taught = max(1, samples - held)
+        if taught > train:
+            held, taught = min(validation, held + taught - train), train
+        train, validation = (max(0, samples - held) if taught + held > samples else taught), held
+    parts = [source_balanced_sample(rows.where(F.col("split") == name), n, seed) for name, n in (("train", train), ("validation", validation)) if n]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hash_order(seed: int, kind: str, *columns: str) -> Column:

@@ -220,13 +220,20 @@ def line_item_scores(expected: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def truth_to_reference(truth: DataFrame) -> DataFrame:
-    """Reference text from structured truth, distinct lines in order."""
-    money = lambda c, label: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), F.col(c), F.lit(" TL")))
+    """Reference text from structured truth, distinct lines in order.
+
+    ``line_items`` (array of description and amount), where there, stand between date and totals. A point before
+    two decimals becomes a comma."""
+    comma = lambda c: F.regexp_replace(c, r"^([^,]*)\.([0-9]{2})$", "$1,$2")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    item = lambda i: F.nullif(F.concat_ws(" ", filled(i["description"]), F.concat(comma(filled(i["amount"])), F.lit(" TL"))), F.lit(""))
+    items = F.transform("line_items", item) if "line_items" in truth.columns else F.array().cast("array<string>")
+    money = lambda c, label: F.when(F.col(c).isNotNull(), F.concat(F.lit(label), comma(F.col(c)), F.lit(" TL")))
+    head = F.array(F.col("merchant"), F.when(F.col("date").isNotNull(), F.concat(F.lit("TARIH "), F.date_format("date", "dd.MM.yyyy"))))
     extra = F.array(
-        F.col("merchant"), F.when(F.col("date").isNotNull(), F.concat(F.lit("TARIH "), F.date_format("date", "dd.MM.yyyy"))),
         money("subtotal", "ARA TOPLAM "), money("tax", "KDV "), money("total", "GENEL TOPLAM "),
         F.when(F.col("payment_method").isNotNull(), F.concat(F.lit("ODEME "), F.col("payment_method"))))
-    lines = F.filter(F.transform(F.concat("snippets", extra), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))),
+    lines = F.filter(F.transform(F.concat("snippets", head, items, extra), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))),
                      lambda x: F.coalesce(x, F.lit("")) != "")
     df = truth.withColumn("__l", lines).withColumn(
         "__k", F.transform("__l", lambda x: F.replace(F.lower(x), F.lit(" "), F.lit(""))))

@@ -373,6 +373,7 @@ def recognition_slices(scored: DataFrame, by: str = "source") -> DataFrame:
     marks = lambda c: F.regexp_replace(c, "[^0-9.,:;%/+-]", "")
     return scored.groupBy("engine", by).agg(
         F.count(F.lit(1)).alias("samples"), F.round(F.avg("cer"), 6).alias("average_cer"),
+        F.round(F.avg(wer(F.col("reference"), F.col("prediction"))), 6).alias("average_wer"),
         F.round(F.avg(F.col("exact").cast("int")), 6).alias("exact_rate"),
         F.round(F.avg((marks("reference") == marks("prediction")).cast("int")), 6).alias("numeric_exact_rate"),
     )
@@ -452,9 +453,13 @@ def confusion_rows(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys, "actual", "predicted").agg(F.count(F.lit(1)).alias("count"))
 
 
-def class_metrics(scored: DataFrame) -> DataFrame:
-    """Top-1 and top-3 accuracy and macro F1 per run; ``candidates`` is ranked."""
+def class_metrics(scored: DataFrame, subset: tuple[str, ...] = tuple(SPECIAL_LETTERS)) -> DataFrame:
+    """Top-1 and top-3 accuracy and macro F1 per run, and the accuracy on the classes of ``subset`` alone.
+
+    ``candidates`` is ranked. A run without a row of the subset has no accuracy there."""
+    own = F.col("actual").isin(*subset)
     top = scored.groupBy("run").agg(
+        F.count_if(own).alias("subset_support"), F.round(F.avg(F.when(own, (F.col("actual") == F.col("predicted")).cast("int"))), 6).alias("subset_top1"),
         F.round(F.avg((F.col("actual") == F.col("predicted")).cast("int")), 6).alias("top1"),
         F.round(F.avg(F.array_contains(F.slice("candidates", 1, 3), F.col("actual")).cast("int")), 6).alias("top3"),
     )

@@ -59,16 +59,17 @@ KEY = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
 
 @query("hardcase_merge", with_bindings(
-    f"""SELECT source, split, image, {KEY} AS text_key, coalesce(array_to_string(list_sort(list_distinct(flatten(list(r)))), ','), '') AS reasons,
+    f"""SELECT source, split, image, crop, {KEY} AS text_key, coalesce(array_to_string(list_sort(list_distinct(flatten(list(r)))), ','), '') AS reasons,
       CAST(greatest(1, least(4, max(w))) AS INTEGER) AS weight FROM (
-      SELECT source, split, image, text, ['base'] AS r, hardcase_weight AS w FROM usable UNION ALL SELECT source, split, image, text, reasons, weight FROM mined) GROUP BY 1, 2, 3, 4""",
+      SELECT source, split, image, CASE WHEN box_w > 0 THEN box_w END AS crop, text, ['base'] AS r, hardcase_weight AS w FROM usable UNION ALL SELECT m.source, m.split, m.image, CASE WHEN u.box_w > 0 THEN u.box_w END, m.text, reasons, weight
+      FROM mined m JOIN usable u ON m.id = CAST(u.id AS VARCHAR) || ':hardcase') GROUP BY 1, 2, 3, 4, 5""",
     USABLE, MINED))
 def _(t):
-    columns = ["source", "split", "image", "text", "reasons", "weight"]
-    usable = cu.usable_rows(fielded(t))
-    base = usable.select("source", "split", "image", "text", F.array(F.lit("base")).alias("reasons"), F.col("hardcase_weight").alias("weight"))
+    columns = ["source", "split", "image", "crop", "text", "reasons", "weight"]
+    usable = cu.usable_rows(fielded(t)).withColumn("crop", F.when(F.col("box_w") > 0, F.col("box_w")))
+    base = usable.select("source", "split", "image", "crop", "text", F.array(F.lit("base")).alias("reasons"), F.col("hardcase_weight").alias("weight"))
     mined = cu.hardcase_mining(fielded(t)).select(F.regexp_extract("id", "^[0-9]+", 0).cast("long").alias("k"), "reasons", "weight")
-    mined = mined.join(usable.select(F.col("id").alias("k"), "source", "split", "image", "text"), "k").select(*columns)
+    mined = mined.join(usable.select(F.col("id").alias("k"), "source", "split", "image", "crop", "text"), "k").select(*columns)
     return cu.hardcase_merge(base, mined).withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -101,9 +102,23 @@ def _(t):
 
 
 @query("dataset_mix", with_bindings(
-    "SELECT 'source' AS kind, source AS value, count(*) AS count FROM manifest GROUP BY 2 UNION ALL SELECT 'split', split, count(*) FROM manifest GROUP BY 2"))
+    """SELECT 'source' AS kind, source AS value, count(*) AS count FROM manifest GROUP BY 2 UNION ALL SELECT 'split', split, count(*) FROM manifest GROUP BY 2
+    UNION ALL SELECT 'document_type', CASE WHEN id % 3 = 0 THEN 'receipt' ELSE 'unknown' END, count(*) FROM manifest GROUP BY 2 UNION ALL SELECT 'level', CASE WHEN id % 5 = 0 THEN 'document' ELSE 'line' END, count(*) FROM manifest GROUP BY 2
+    UNION ALL SELECT 'labels', l, count(*) FROM (SELECT unnest(labels) AS l FROM labelled) GROUP BY 2 UNION ALL SELECT 'reasons', 'x', count(*) FROM manifest WHERE id % 3 = 0""", LABELLED))
 def _(t):
-    return cu.dataset_mix(t.manifest)
+    rows = weighted(t).withColumns({"document_type": F.when(F.col("id") % 3 == 0, "receipt"), "level": F.when(F.col("id") % 5 == 0, "document").otherwise("line")})
+    return cu.dataset_mix(rows)
+
+
+@query("bounded_split_sample", with_bindings(
+    """SELECT id, split, CASE WHEN rn <= quota THEN 'quota' ELSE 'overflow' END AS reason FROM (
+      SELECT *, row_number() OVER (PARTITION BY split, rn > quota ORDER BY h, id) AS spare, sum(CASE WHEN rn <= quota THEN 1 ELSE 0 END) OVER (PARTITION BY split) AS taken FROM (
+        SELECT m.*, target, row_number() OVER (PARTITION BY m.split, m.source ORDER BY h, id) AS rn, target // n + CASE WHEN i <= target % n THEN 1 ELSE 0 END AS quota
+        FROM (SELECT id, source, split, sha256('row:7:' || CAST(id AS VARCHAR)) AS h, CASE split WHEN 'train' THEN 510 ELSE 90 END AS target FROM manifest) m
+        JOIN (SELECT split, source, row_number() OVER (PARTITION BY split ORDER BY source) AS i, count(*) OVER (PARTITION BY split) AS n FROM (SELECT DISTINCT split, source FROM manifest)) s ON s.source = m.source AND s.split = m.split))
+    WHERE rn <= quota OR spare <= target - taken"""))
+def _(t):
+    return cu.bounded_split_sample(t.manifest.select("id", "source", "split"), 600, 7).select("id", "split", "reason")
 
 
 @query("source_balanced_sample", with_bindings(

@@ -104,13 +104,19 @@ def _(t):
     return lines.line_item_scores(expected, predicted)
 
 
-@query("truth_to_reference")
+@query("truth_to_reference", with_bindings(
+    """SELECT doc_id, string_agg(l, chr(10) ORDER BY k) AS reference FROM (SELECT doc_id, l, k, row_number() OVER (PARTITION BY doc_id, replace(lower(l), ' ', '') ORDER BY k) AS r FROM (
+      SELECT doc_id, trim(regexp_replace(l, '\\s+', ' ', 'g')) AS l, k FROM (SELECT doc_id, unnest([t_merchant, 'Toplam  ' || amount1, t_merchant, 'TARIH ' || strftime(TRY_CAST(t_date AS DATE), '%d.%m.%Y'),
+        item1 || ' ' || regexp_replace(amount1, '^([^,]*)\\.([0-9]{2})$', '\\1,\\2') || ' TL', item2 || ' ' || regexp_replace(amount2, '^([^,]*)\\.([0-9]{2})$', '\\1,\\2') || ' TL',
+        'ARA TOPLAM ' || t_subtotal || ' TL', 'KDV ' || nullif(t_tax, ' ') || ' TL', 'GENEL TOPLAM ' || t_total || ' TL', 'ODEME ' || t_payment]) AS l, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], 1) AS k FROM scan))
+      WHERE coalesce(l, '') <> '') WHERE r = 1 GROUP BY doc_id"""))
 def _(t):
-    snippets = F.filter(F.array("merchant", F.concat(F.lit("FIS NO "), F.col("receipt_number"))), lambda s: s.isNotNull())
-    as_text = lambda c: (F.col(c) / 100).cast("decimal(18,2)").cast("string").alias(c[:-6])
-    truth = extracted(t).select("doc_id", snippets.alias("snippets"), "merchant", "date", as_text("subtotal_minor"), as_text("tax_minor"),
-                                as_text("total_minor"), "payment_method")
-    return lines.truth_to_reference(truth).select("doc_id", "reference")
+    item = lambda k: F.when(F.col(f"item{k}").isNotNull(), F.struct(F.col(f"item{k}").alias("description"), F.col(f"amount{k}").alias("amount")))
+    truth = t.scan.select(
+        "doc_id", F.array("t_merchant", F.concat(F.lit("Toplam  "), "amount1")).alias("snippets"), F.col("t_merchant").alias("merchant"), F.col("t_date").try_cast("date").alias("date"),
+        F.filter(F.array(item(1), item(2)), lambda i: i.isNotNull()).alias("line_items"), F.col("t_subtotal").alias("subtotal"), F.nullif("t_tax", F.lit(" ")).alias("tax"),
+        F.col("t_total").alias("total"), F.col("t_payment").alias("payment_method"))
+    return lines.truth_to_reference(truth).where("reference <> ''").select("doc_id", "reference")
 
 
 @query("annotation_summary", with_bindings(
@@ -141,9 +147,10 @@ def _(t):
 
 
 @query("column_expressions", with_bindings(
-    r"""SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS locale_minor, 'order-' || o_orderkey || '.csv' AS safe_name, sha256(CAST(o_orderkey AS VARCHAR)) AS digest,
+    r"""SELECT o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS locale_minor, 'order-' || o_orderkey || '.csv' AS safe_name, sha256(CAST(o_orderkey AS VARCHAR)) AS digest, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(crc_table[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8))) AS crc,
       'X00 ' || regexp_replace(o_orderpriority, '[A-Z]', 'X', 'g').replace('1', '0').replace('2', '0').replace('3', '0').replace('4', '0').replace('5', '0') AS masked,
-      CAST(o_orderdate AS DATE) AS mixed_date, 'Tür' AS repaired FROM orders"""))
+      CAST(o_orderdate AS DATE) AS mixed_date, 'Tür' AS repaired, 'Gül' AS scored, 'Ärger' AS kept FROM orders, (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc_table)"""))
 def _(t):
     euro = F.format_number(F.col("o_totalprice"), 2)
     turkish = F.concat(F.translate(euro, ",.", ".,"), F.lit(" TL"))
@@ -151,5 +158,6 @@ def _(t):
     return t.orders.select(
         F.col("o_orderkey").alias("id"), money.parse_locale_amount(turkish).alias("locale_minor"),
         text.safe_name(F.concat(F.lit("..Order "), F.col("o_orderkey").cast("string"), F.lit("!..csv"))).alias("safe_name"),
-        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), text.mask(F.concat(F.lit("a12 "), F.col("o_orderpriority"))).alias("masked"),
-        dates.parse_mixed_date(day).alias("mixed_date"), text.repair_mojibake(F.lit("TÃ¼r")).alias("repaired"))
+        F.sha2(F.col("o_orderkey").cast("string"), 256).alias("digest"), F.crc32(F.col("o_orderkey").cast("string").cast("binary")).alias("crc"), text.mask(F.concat(F.lit("a12 "), F.col("o_orderpriority"))).alias("masked"),
+        dates.parse_mixed_date(day).alias("mixed_date"), text.repair_mojibake(F.lit("TÃ¼r")).alias("repaired"),
+        text.repair_mojibake_scored(F.lit("GÃ¼l")).alias("scored"), text.repair_mojibake_scored(F.lit("Ärger")).alias("kept"))

@@ -28,7 +28,13 @@ def _(t):
     return q.display_error_rate(t.prediction)
 
 
-@query("word_error_rate")
+# Words as one ASCII letter each: a line of at most 80 characters has few enough of them.
+CODED = "array_to_string(list_transform({0}, lambda w: chr(CAST(32 + list_position(known, w) AS INTEGER))), '')"
+WORDED = f"""worded AS (SELECT *, levenshtein({CODED.format('rw')}, {CODED.format('hw')}) / greatest(len(rw), 1) AS wer FROM (
+    SELECT *, list_distinct(list_concat(rw, hw)) AS known FROM (SELECT *, {WORDS.format('reference')} AS rw, {WORDS.format('prediction')} AS hw FROM scored)))"""
+
+
+@query("word_error_rate", with_bindings("SELECT sample_id, engine, round(wer, 6) AS wer FROM worded", SCORED.replace(" WHERE error_code IS NULL", ""), WORDED))
 def _(t):
     return q.word_error_rates(t.prediction)
 
@@ -135,8 +141,8 @@ MARKS = "regexp_replace({0}, '[^0-9.,:;%/+-]', '', 'g')"
 
 
 @query("recognition_slices", with_bindings(
-    f"""SELECT engine, source, count(*) AS samples, round(avg(cer), 6) AS average_cer, round(avg(CAST(exact AS INTEGER)), 6) AS exact_rate,
-    round(avg(CAST({MARKS.format('reference')} = {MARKS.format('prediction')} AS INTEGER)), 6) AS numeric_exact_rate FROM scored GROUP BY engine, source""", SCORED))
+    f"""SELECT engine, source, count(*) AS samples, round(avg(cer), 6) AS average_cer, round(avg(wer), 6) AS average_wer, round(avg(CAST(exact AS INTEGER)), 6) AS exact_rate,
+    round(avg(CAST({MARKS.format('reference')} = {MARKS.format('prediction')} AS INTEGER)), 6) AS numeric_exact_rate FROM worded GROUP BY engine, source""", SCORED, WORDED))
 def _(t):
     return q.recognition_slices(q.error_rates(t.prediction))
 
@@ -212,10 +218,10 @@ def _(t):
 
 
 @query("class_metrics", with_bindings(
-    """SELECT l.run, round(avg(CAST(actual = predicted AS INTEGER)), 6) AS top1, round(avg(CAST(actual = predicted OR actual IN ('q10', 'q00') AS INTEGER)), 6) AS top3, any_value(macro_f1) AS macro_f1
+    """SELECT l.run, count(*) FILTER (WHERE actual IN ('q11', 'q01')) AS subset_support, round(avg(CAST(actual = predicted AS INTEGER)) FILTER (WHERE actual IN ('q11', 'q01')), 6) AS subset_top1, round(avg(CAST(actual = predicted AS INTEGER)), 6) AS top1, round(avg(CAST(actual = predicted OR actual IN ('q10', 'q00') AS INTEGER)), 6) AS top3, any_value(macro_f1) AS macro_f1
     FROM label_pair l JOIN overall o ON o.run = l.run GROUP BY l.run""", REPORT))
 def _(t):
-    return q.class_metrics(t.label_pair.withColumn("candidates", F.array("predicted", F.lit("q10"), F.lit("q00"), F.lit("q01"))))
+    return q.class_metrics(t.label_pair.withColumn("candidates", F.array("predicted", F.lit("q10"), F.lit("q00"), F.lit("q01"))), ("q11", "q01"))
 
 
 def runs(t):

@@ -44,12 +44,14 @@ def export(df: DataFrame, report_type: str, path: str, manifest_path: str, month
     manifest_row(written, report_type, path, month).join(whole).write.mode("append").parquet(manifest_path)
 
 
-def merge_upsert(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
+def merge_upsert(current: DataFrame, updates: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Table after a keyed merge: updated rows replace, new rows join, others stay.
 
-    Null keys match null keys. Of several updates of one key the largest row counts, so none multiplies rows."""
+    Null keys match null keys. Of several updates of one key the last by the ``order`` columns of ``updates`` counts,
+    of equally late ones the largest by its JSON form (maps have no order of their own), so none multiplies rows."""
     values = [c for c in current.columns if c not in keys]
-    one = updates.groupBy(*keys).agg(F.max(F.struct(*values)).alias("__new")) if values else updates.select(*keys).distinct().withColumn("__new", F.struct())
+    last = F.max_by(F.struct(*values), F.struct(*(order or []), F.to_json(F.struct(*values)))).alias("__new") if values else None
+    one = updates.groupBy(*keys).agg(last) if values else updates.select(*keys).distinct().withColumn("__new", F.struct())
     u = one.select(*[F.col(k).alias(f"__{k}") for k in keys], "__new", F.lit(True).alias("__hit"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     joined = current.join(u, same, "full_outer")
