@@ -34,11 +34,16 @@ def shingles(text: Column, size: int = WORDS) -> Column:
     """Distinct hashes of ``size`` neighbouring words; of the whole sequence where there are fewer; none without words."""
     words = words_of(lower_ascii(text.cast("string")))
 
+    def run(h: Column, length: int) -> Column:
+        """Hashes of ``length`` neighbours, of two shorter runs each: few passes over the words."""
+        if length == 1:
+            return h
+        half = length // 2
+        pairs = lambda r: F.zip_with(r, F.slice(r if length == 2 * half else h, half + 1 if length == 2 * half else length, 1 << 30), lambda a, b: F.xxhash64(a, b))
+        return let(run(h, half if length == 2 * half else length - 1), pairs)
+
     def hashed(h: Column) -> Column:
-        joined = h
-        for k in range(2, size + 1):
-            joined = F.zip_with(joined, F.slice(h, k, 1 << 30), lambda a, b: F.xxhash64(a, b))
-        return F.array_distinct(F.slice(joined, 1, F.greatest(F.size(h) - (size - 1), F.lit(0))))
+        return F.array_distinct(F.slice(run(h, size), 1, F.greatest(F.size(h) - (size - 1), F.lit(0))))
 
     sets = lambda h: F.when(F.size(h) >= size, hashed(h)).when(F.size(h) > 0, F.array(F.xxhash64(F.size(h), h)))
     return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.coalesce(sets(h), F.array().cast("array<bigint>")))
@@ -97,6 +102,15 @@ def vector(counts: bytes) -> np.ndarray:
     return np.frombuffer(counts, "u1" if len(counts) == GROUPS else "<u4").astype(np.int32)
 
 
+def vectors(counts: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """All points of a column at once; those of equal width are one buffer."""
+    column = counts.combine_chunks() if isinstance(counts, pa.ChunkedArray) else counts
+    cuts = np.frombuffer(column.buffers()[1], "<i4", count=len(column) + 1 + column.offset)[column.offset :]
+    if len(column) and (np.diff(cuts) == GROUPS).all():
+        return np.frombuffer(column.buffers()[2], "u1")[cuts[0] : cuts[-1]].reshape(-1, GROUPS)
+    return np.stack([vector(c) for c in column.to_pylist()])
+
+
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Least overlap of two linked sets of n and m shingles: 100 i >= p (n + m - i)."""
     return -(-(PERCENT * (n + m)) // (100 + PERCENT))
@@ -105,14 +119,18 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 class Tree:
     """An R-tree packed by size and by the heaviest groups: each box has the largest counts and sizes below it."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, components: np.ndarray | None = None):
         heavy = np.argsort(-counts.var(axis=0), kind="stable")[:2]
         self.order = np.lexsort((counts[:, heavy[1]], counts[:, heavy[0]], np.floor(np.log(np.maximum(sizes, 1)) / np.log(1.25))))
-        self.levels = [(counts[self.order], sizes[self.order], sizes[self.order])]
+        own = np.arange(len(sizes)) if components is None else components
+        # points of one component lie together where size and heavy groups allow it; a box knows its first and last
+        self.order = self.order[np.lexsort((np.arange(len(own)), own[self.order], np.arange(len(own)) // (FANOUT * FANOUT)))]
+        self.levels = [(counts[self.order], sizes[self.order], sizes[self.order], own[self.order], own[self.order])]
         while len(self.levels[-1][0]) > 1:
-            high, low_n, high_n = self.levels[-1]
+            high, low_n, high_n, low_c, high_c = self.levels[-1]
             cuts = np.arange(0, len(high), FANOUT)
-            self.levels.append((np.maximum.reduceat(high, cuts), np.minimum.reduceat(low_n, cuts), np.maximum.reduceat(high_n, cuts)))
+            self.levels.append((np.maximum.reduceat(high, cuts), np.minimum.reduceat(low_n, cuts), np.maximum.reduceat(high_n, cuts), np.minimum.reduceat(low_c, cuts), np.maximum.reduceat(high_c, cuts)))
+        self.named = components is not None
 
     def join(self, other: Tree) -> tuple[np.ndarray, np.ndarray]:
         """Places of the points of both trees whose bound reaches the needed overlap."""
@@ -130,9 +148,12 @@ class Tree:
         return self.levels[min(level, len(self.levels) - 1)]
 
     def reach(self, other: Tree, level: int, mine: np.ndarray, yours: np.ndarray) -> np.ndarray:
-        (a, a_low, a_high), (b, b_low, b_high) = self.at(level), other.at(level)
+        (a, a_low, a_high, a_first, a_last), (b, b_low, b_high, b_first, b_last) = self.at(level), other.at(level)
         sized = (100 * a_high[mine] >= PERCENT * b_low[yours]) & (100 * b_high[yours] >= PERCENT * a_low[mine])
-        sized[sized] = np.minimum(a[mine[sized]], b[yours[sized]]).sum(axis=1) >= needed(a_low[mine[sized]], b_low[yours[sized]])
+        if self.named:
+            # boxes that hold one and the same component have no pair to find
+            sized &= (a_first[mine] != a_last[mine]) | (b_first[yours] != b_last[yours]) | (a_first[mine] != b_first[yours])
+        sized[sized] = np.minimum(a[mine[sized]], b[yours[sized]]).sum(axis=1, dtype=np.int64) >= needed(a_low[mine[sized]], b_low[yours[sized]])
         return sized
 
 
@@ -148,12 +169,13 @@ def expand(mine: np.ndarray, yours: np.ndarray, n: int, m: int, grow_mine: bool,
 
 def join_block(table: pa.Table) -> pa.Table:
     """Pairs of different components in one block, or between two parts of it, that pass the bound."""
-    ids, parts, components = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "part", "component"))
-    sizes = np.array(table.column("n").to_pylist(), np.int64)
-    counts = np.stack([vector(c) for c in table.column("counts").to_pylist()])
+    ids, parts, components, sizes = (table.column(c).to_numpy() for c in ("node", "part", "component", "n"))
+    counts = vectors(table.column("counts"))
     low, high = parts == parts.min(), parts == parts.max()
     left, right = np.flatnonzero(low), np.flatnonzero(high)
-    a, b = Tree(counts[left], sizes[left]).join(Tree(counts[right], sizes[right]))
+    first = Tree(counts[left], sizes[left], components[left])
+    # a part meets itself, or another one
+    a, b = first.join(first if parts.min() == parts.max() else Tree(counts[right], sizes[right], components[right]))
     a, b = left[a], right[b]
     keep = components[a] != components[b]
     pairs = np.unique(np.stack([np.minimum(ids[a], ids[b])[keep], np.maximum(ids[a], ids[b])[keep]]), axis=1)
@@ -168,7 +190,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             n = np.array([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)])
-            sums = np.array([np.minimum(vector(x), vector(y)).sum() for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            sums = np.minimum(vectors(batch.column(4)), vectors(batch.column(5))).sum(axis=1, dtype=np.int64)
             keep = pa.array(sums >= needed(n[0], n[1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 

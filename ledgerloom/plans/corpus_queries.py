@@ -8,6 +8,7 @@ from ..functions.storage import scratch
 from ..sources import corpora, imports
 from .bindings import with_bindings
 from .registry import query
+from .stream_queries import VALID
 
 # Documents in files: one folder a source and eighth of the ids, in the order of the ids.
 FILED = """filed AS (SELECT 'part-' || source || '-' || doc_id % 8 AS dataset, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source, doc_id % 8 ORDER BY doc_id) AS k FROM documents),
@@ -77,3 +78,21 @@ def _(t):
     rows = corpora.read_corpora(t.spark, f"{path}/nested", f"{path}/box", f"{path}/entities", key)
     pairs = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return rows.select("key", "row_id", "source", "level", "split", "line_no", "text", F.array_join("box", ",").alias("box"), pairs.alias("fields"))
+
+
+@query("csv_import_files", with_bindings(
+    """SELECT 'batch-' || t.batch_id % 40 AS batch, count(*) AS total_rows, CAST(coalesce(any_value(n), 0) AS BIGINT) AS failed_rows, CASE WHEN any_value(n) IS NULL THEN count(*) ELSE 0 END AS imported_rows,
+      CASE WHEN any_value(n) IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, CAST(max(e.last) AS BIGINT) AS last_bad_row
+    FROM typed t LEFT JOIN (SELECT b, count(*) AS n, max(r + 1) AS last FROM (SELECT batch_id % 40 AS b, k AS r FROM errs JOIN (SELECT batch_id AS q, row_no, row_number() OVER (PARTITION BY batch_id % 40 ORDER BY row_no) AS k FROM typed) p
+      ON q = batch_id AND p.row_no + 2 = errs.row) GROUP BY b) e ON e.b = t.batch_id % 40 GROUP BY t.batch_id % 40""", VALID))
+def _(t):
+    """Uploads as files with two kinds of header, read back, validated and accepted or refused as a whole."""
+    path = scratch(t.spark, "uploads")
+    rows = t.import_raw.withColumn("batch", F.concat(F.lit("batch-"), (F.col("batch_id") % 40).cast("string")))
+    kinds = (("title", "date", "currency", "amount_minor", "amount", "tax", "reimbursable", "business_expense"), ("amount", "reimbursable", "TITLE", "Currency", "DATE", "amount_minor", "business_expense", "tax"))
+    for k, columns in enumerate(kinds):
+        own = rows.where(F.col("batch_id") % 2 == k).repartition("batch").sortWithinPartitions("batch", "row_no")
+        own.select("batch", *[F.col(c.lower()).alias(c) for c in columns]).write.partitionBy("batch").option("header", "true").csv(f"{path}/{k}")
+    checked = imports.validate_import(imports.read_import_csv(t.spark, path)).withColumn("batch_id", F.regexp_extract("batch_id", "batch=([^/]+)/", 1))
+    last = imports.import_errors(checked).groupBy("batch_id").agg(F.max("row").alias("last_bad_row"))
+    return imports.import_batches(checked).join(last, "batch_id", "left").withColumnRenamed("batch_id", "batch")

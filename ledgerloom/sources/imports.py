@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import csv
-import io
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.money import CURRENCIES, parse_import_amount
@@ -19,29 +17,39 @@ IMPORT_COLUMNS = (
 )
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of each file by its own header, numbered from 0; a ragged row is marked."""
-    for files in batches:
-        for file, content in zip(files["batch_id"], files["value"]):
-            rows = (r for r in csv.reader(io.StringIO(content.removeprefix("\ufeff"), newline="")) if r)
-            header = [name.strip().lower() for name in next(rows, [])]
-            found = [(dict(zip(header, cells)), len(cells) != len(header)) for cells in rows]
-            out = pd.DataFrame({name: [cells.get(name) for cells, _ in found] for name in IMPORT_COLUMNS}, dtype=object)
-            out["parse_failed"] = [ragged for _, ragged in found]
-            out.insert(0, "row_no", range(len(found)))
-            out.insert(0, "batch_id", file)
-            yield out
+def import_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below ``path`` by their header line; only names and headers reach the driver."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "id")).alias("header")).orderBy("file")
+    found: dict[str, list[str]] = {}
+    for row in first.toLocalIterator():
+        found.setdefault(row["header"], []).append(row["file"])
+    return found
 
 
 def read_import_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The import columns as text, one batch per file, whatever the order of its columns.
-
-    An import is one uploaded file with a header of its own, so a file is read whole and
-    numbered by itself; files are spread over the cluster. ``parse_failed`` marks rows
-    with more or fewer cells than the header."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("batch_id"), "value")
-    columns = ", ".join(f"{name} string" for name in IMPORT_COLUMNS)
-    return files.mapInPandas(_records, f"batch_id string, row_no long, {columns}, parse_failed boolean")
+    """The import columns as text, one batch per file, whatever the order and case of its columns.
+
+    Files with the same header are read together by Spark's CSV reader, a file a task as a quoted cell may hold
+    line ends. Rows are numbered from 0 by their place in the file, blank lines left out. ``parse_failed`` marks rows
+    with more or fewer cells than the header. Of two columns of one name the last counts."""
+    parts = []
+    for header, files in import_headers(spark, path).items():
+        names = [name.strip().lower() for name in next(csv.reader([header.removeprefix("\ufeff")]), [])]
+        cells = [f"c{k}" for k in range(len(names))]
+        place = dict(zip(names, cells))
+        raw = spark.read.csv(
+            files, schema=", ".join(f"{c} string" for c in [*cells, "_broken"]), header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+        columns = [(F.col(place[n]) if n in place else F.lit(None).cast("string")).alias(n) for n in IMPORT_COLUMNS]
+        parts.append(raw.select(F.col("_metadata.file_path").alias("batch_id"), F.monotonically_increasing_id().alias("id"), *columns, F.col("_broken").isNotNull().alias("parse_failed")))
+    if not parts:
+        columns = ", ".join(f"{name} string" for name in IMPORT_COLUMNS)
+        return spark.createDataFrame([], f"batch_id string, row_no long, {columns}, parse_failed boolean")
+    rows = reduce(DataFrame.unionByName, parts)
+    # a file's rows are neighbours in one task
+    starts = rows.groupBy("batch_id").agg(F.min("id").alias("first"))
+    return rows.join(starts, "batch_id").select("batch_id", (F.col("id") - F.col("first")).alias("row_no"), *IMPORT_COLUMNS, "parse_failed")
 
 
 def _field(df: DataFrame, *names: str) -> Column:

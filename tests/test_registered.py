@@ -8,8 +8,8 @@ from ledgerloom.plans import catalogue
 from ledgerloom.plans.bindings import BASE
 
 SF = "/root/testdata/sf0.001"
-# The text chain and the model fits are slow to compile; check.py covers them.
-SLOW = ("extraction_queries", "category_queries", "quality_queries", "line_queries", "curation_queries")
+# The text chain, the model fits and the alignments are slow to compile; check.py covers them.
+SLOW = ("extraction_queries", "category_queries", "quality_queries")
 NAMES = [n for n, q in catalogue.queries().items() if not any(s in q.__module__ for s in SLOW)]
 
 
