@@ -57,6 +57,12 @@ def category_features(sample: DataFrame) -> DataFrame:
     return sample.withColumn("features_text", text)
 
 
+def held_out(sample: DataFrame, folds: int = 5, fold: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows that teach and rows that are scored, dealt by a hash of the id: no row is on both sides."""
+    own = F.pmod(F.xxhash64("id"), F.lit(folds)) == fold
+    return sample.where(~own), sample.where(own)
+
+
 def category_train(sample: DataFrame, label: str = "category_id", dimensions: int = 1 << 16, iterations: int = 400):
     """TF-IDF over words and word pairs, class-balanced logistic regression."""
     rows = sample.where(F.col(label).isNotNull())

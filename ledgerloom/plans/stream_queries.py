@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import scratch
 from ..operators import spend
 from ..sources import imports, sinks
 from ..streaming import alerts, events as ev, publishing
@@ -170,7 +171,15 @@ def _(t):
     return sinks.merge_upsert(periods.where("budget_id < 15"), updates, ["budget_id", "starts_at"])
 
 
-@query("partitioned_manifests", with_bindings("SELECT 'line_' || split AS manifest, count(*) AS rows FROM manifest GROUP BY 1"))
+LEVEL = "CASE WHEN id % 7 = 3 THEN 'hardcase' WHEN id % 5 = 0 THEN CASE WHEN source = 'src3' THEN 'fixture' ELSE 'document' END WHEN id % 5 = 1 AND split = 'train' THEN 'character' WHEN id % 11 = 2 THEN 'page' ELSE 'line' END"
+
+
+@query("partitioned_manifests", with_bindings(
+    f"""SELECT name AS manifest, count(id) AS rows, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS letters, count(DISTINCT source) AS sources FROM (SELECT unnest({list(sinks.MANIFESTS)}) AS name)
+    LEFT JOIN (SELECT *, CASE level WHEN 'document' THEN 'document_benchmark' WHEN 'fixture' THEN 'project_fixture_benchmark' WHEN 'page' THEN NULL ELSE level || '_' || CASE split WHEN 'train' THEN 'train' ELSE 'validation' END END AS m
+      FROM (SELECT *, {LEVEL} AS level FROM manifest)) ON m = name GROUP BY name"""))
 def _(t):
-    keyed = sinks.with_manifest_key(t.manifest.withColumn("level", F.lit("line")))
-    return keyed.groupBy("manifest").agg(F.count(F.lit(1)).alias("rows"))
+    """All eight manifests written and read back; one of them has no row."""
+    path = scratch(t.spark, "manifests")
+    sinks.write_manifests(t.manifest.select("id", "source", "split", "text", F.expr(LEVEL).alias("level")), path)
+    return sinks.manifest_sizes(sinks.read_manifests(t.spark, path, "id long, source string, split string, text string, level string"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.money import EXACT
 from ..functions.text import csv_cell
@@ -59,10 +59,38 @@ def merge_upsert(current: DataFrame, updates: DataFrame, keys: list[str], order:
     return joined.select(*[F.when(hit, F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in keys], *[F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in values])
 
 
+# The training manifests.
+MANIFESTS = (
+    "character_train", "character_validation", "line_train", "line_validation", "document_benchmark", "project_fixture_benchmark",
+    "hardcase_train", "hardcase_validation",
+)
+
+
 def with_manifest_key(rows: DataFrame) -> DataFrame:
-    """Names the manifest a curated row belongs to, from its level and split."""
-    return rows.withColumn("manifest", F.concat_ws("_", "level", "split"))
+    """Names the manifest a curated row belongs to.
+
+    ``level`` is character, line, document, fixture or hardcase; whatever is not for training is for validation,
+    documents and fixtures are for the benchmark. A row of another level has no manifest."""
+    side = F.when(F.col("split") == "train", "train").otherwise("validation")
+    named = (
+        F.when(F.col("level") == "document", "document_benchmark").when(F.col("level") == "fixture", "project_fixture_benchmark")
+        .when(F.col("level").isin("character", "line", "hardcase"), F.concat_ws("_", F.col("level"), side))
+    )
+    return rows.withColumn("manifest", named)
 
 
 def write_manifests(rows: DataFrame, path: str) -> None:
-    with_manifest_key(rows).write.partitionBy("manifest").mode("overwrite").json(path)
+    """All manifests as JSON lines, a folder each; rows without a manifest are not written."""
+    with_manifest_key(rows).where(F.col("manifest").isNotNull()).write.partitionBy("manifest").mode("overwrite").json(path)
+
+
+def read_manifests(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all manifests with their ``manifest``."""
+    return spark.read.schema(f"{schema}, manifest string").json(path)
+
+
+def manifest_sizes(rows: DataFrame) -> DataFrame:
+    """Rows of each of the eight manifests, empty ones too."""
+    names = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in MANIFESTS])).alias("manifest"))
+    counted = rows.groupBy("manifest").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("letters"), F.count_distinct("source").alias("sources"))
+    return names.join(counted, "manifest", "left").select("manifest", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "letters", "sources")])

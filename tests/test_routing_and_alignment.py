@@ -88,3 +88,23 @@ def test_the_threshold_gains_most_without_regressions(spark):
     assert routing.chosen_threshold(routing.thresholds(scored.where(F.col("probability") < 0.5))) is None
     with pytest.raises(ValueError):
         routing.fit(routing.training_rows(spark.createDataFrame([], "doc_id int, champion_cer double, challenger_cer double, features array<double>")))
+
+
+def test_categories_are_scored_on_rows_that_did_not_teach(spark):
+    from ledgerloom.operators import categories
+
+    rows = [(i, "market" if i % 2 else "taksi", f"{'bakkal ekmek' if i % 2 else 'taksi yol'} {i}") for i in range(200)]
+    taught, held = categories.held_out(spark.createDataFrame(rows, "id long, category_id string, features_text string"))
+    ids = [{r["id"] for r in part.collect()} for part in (taught, held)]
+    assert not ids[0] & ids[1] and len(ids[0] | ids[1]) == 200 and len(ids[1]) > 20
+    got = categories.category_score(categories.category_train(taught, iterations=30), held).collect()
+    assert len(got) == len(ids[1]) and all(r["predicted"] == r["category_id"] for r in got)
+
+
+def test_of_several_updates_the_last_wins(spark):
+    from ledgerloom.sources import sinks
+
+    current = spark.createDataFrame([(1, 5, {"a": 1}), (2, 6, {"b": 2})], "k int, v int, m map<string,int>")
+    updates = spark.createDataFrame([(1, 9, {"a": 3}, 1), (1, 7, {"a": 2}, 2), (3, 1, None, 1), (None, 4, None, 1)], "k int, v int, m map<string,int>, at int")
+    got = {r["k"]: (r["v"], r["m"]) for r in sinks.merge_upsert(current, updates, ["k"], ["at"]).collect()}
+    assert got == {1: (7, {"a": 2}), 2: (6, {"b": 2}), 3: (1, None), None: (4, None)}
