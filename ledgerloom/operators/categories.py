@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    HashingTF, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler,
+    HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import is_weekend
 from ..functions.text import fold

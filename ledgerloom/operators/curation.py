@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import groups
 from ..functions.binding import let
 from ..functions.storage import written
-from ..functions.text import mask, mask_json, repair_mojibake
+from ..functions.text import mask, mask_json
 
 # Letters, confusable characters, row patterns and sample weights.
 SPECIAL_LETTERS = "çğıİöşüÇĞIÖŞÜ"

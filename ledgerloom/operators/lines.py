@@ -193,9 +193,7 @@ def confidence_rollup(line: DataFrame, page: DataFrame, document: DataFrame) ->
         "doc_id", "structure", "calibrated", F.array_join(F.filter(warn, lambda w: w.isNotNull()), ",").alias("warnings"))
 
 
-# --- scores of extracted fields ---------------------------------------------------------
-
-MONEY_FIELDS = ("total", "tax", "subtotal", "discount")
+# --- scores of extracted items ----------------------------------------------------------
 
 
 def match_text(value: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.groups import unnest
 from ..operators import benchmarking as b, quality
 from .bindings import with_bindings
 from .registry import query

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..operators import curation, lines
+from ..operators import lines
 from .bindings import with_bindings
 from .category_queries import routed
-from .extraction_queries import ALL, EVIDENCE, extracted
 from .registry import query
 
 FOLD = "translate(replace(lower({0}), 'ß', 'ss'), 'çğıöşü', 'cgiosu')"

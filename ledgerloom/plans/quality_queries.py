@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.groups import unnest
 from ..operators import quality as q
 from .bindings import with_bindings
-from .extraction_queries import ALL, AS_OF_DATE, EVIDENCE, ISSUES, READY, extracted
+from .extraction_queries import ALL, EVIDENCE, ISSUES, READY, extracted
 from .registry import query
 
 CER = "levenshtein(reference, prediction) / greatest(length(reference), 1)"
