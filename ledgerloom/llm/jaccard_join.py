@@ -16,10 +16,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import among, let, lower_ascii, slices, stored, without, words_of
+from ledgerloom.llm.common import among, slices, stored, without
 from ledgerloom.llm.quality_model import rows_of
 
 #: Words of a shingle, similarity in hundredths, groups of a count vector.
@@ -30,38 +30,77 @@ FANOUT, TREE_POINTS = 32, 2_000
 SKETCH_CELLS = (1 << 16, 1 << 22)
 
 
-def shingles(text: Column, size: int = WORDS) -> Column:
-    """Distinct hashes of ``size`` neighbouring words; of the whole sequence where there are fewer; none without words."""
-    words = words_of(lower_ascii(text.cast("string")))
+#: Capital ASCII letters made small, byte by byte: bytes of other characters are never ASCII.
+SMALL = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
+#: Which bytes part words: the blank and the five control white spaces.
+BLANK = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+#: Base of the polynomial hash of a word's bytes.
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def run(h: Column, length: int) -> Column:
-        """Hashes of ``length`` neighbours, of two shorter runs each: few passes over the words."""
-        if length == 1:
-            return h
-        half = length // 2
-        pairs = lambda r: F.zip_with(r, F.slice(r if length == 2 * half else h, half + 1 if length == 2 * half else length, 1 << 30), lambda a, b: F.xxhash64(a, b))
-        return let(run(h, half if length == 2 * half else length - 1), pairs)
 
-    def hashed(h: Column) -> Column:
-        return F.array_distinct(F.slice(run(h, size), 1, F.greatest(F.size(h) - (size - 1), F.lit(0))))
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two runs of words, in their order."""
+    h = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
-    sets = lambda h: F.when(F.size(h) >= size, hashed(h)).when(F.size(h) > 0, F.array(F.xxhash64(F.size(h), h)))
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.coalesce(sets(h), F.array().cast("array<bigint>")))
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a whole text, all worked out together: a polynomial of its bytes, mixed with its length."""
+    # a lone surrogate, which Arrow never delivers, would not encode
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(SMALL), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], BLANK[data], [True]]).astype(np.int8)))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    letters = data[~BLANK[data]].astype(np.uint64) + np.uint64(1)
+    first = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(int(lengths.max()), BASE, np.uint64))
+    letters *= powers[np.arange(len(letters)) - np.repeat(first, lengths)]
+    return mixed(np.add.reduceat(letters, first), lengths.astype(np.uint64))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of five neighbouring words of a whole text; of the whole sequence where there are fewer.
+
+    Runs are built from shorter runs: two, four, five words. A null text and one without words have none."""
+    one = word_hashes(text)
+    if len(one) < WORDS:
+        whole = one[:1]
+        for k in range(1, len(one)):
+            whole = mixed(whole, one[k : k + 1])
+        return mixed(whole, np.full(len(whole), len(one), np.uint64)).view(np.int64)
+    two = mixed(one[:-1], one[1:])
+    four = mixed(two[:-2], two[2:])
+    return np.unique(mixed(four[:-1], one[4:]).view(np.int64))
+
+
+def shingle_lists(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``shingles`` of every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def cells_of(values: np.ndarray, cells: int) -> np.ndarray:
     return ((values.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % cells
 
 
-def count_sketch(sets: DataFrame, cells: int) -> np.ndarray:
+def count_sketch(docs: DataFrame, cells: int) -> np.ndarray:
     """How many documents have a shingle of each cell, over all documents: a fixed size, summed in blocks."""
     block = 1 << 14
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.int64)
-        for batch in slices(batches, 2048):
-            values, _ = rows_of(batch, "shingles")
-            total += np.bincount(cells_of(values, cells), minlength=cells)
+        for batch in slices(batches):
+            values = np.concatenate([*(shingles(t) for t in batch.column(0).to_pylist()), np.zeros(0, np.int64)])
+            np.add.at(total, cells_of(values, cells), 1)
         parts = [total[i : i + block] for i in range(0, cells, block)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts])], names=["part", "counts"])
 
@@ -69,21 +108,19 @@ def count_sketch(sets: DataFrame, cells: int) -> np.ndarray:
         total = sum(np.frombuffer(b, "<u4").astype(np.int64) for b in table.column("counts").to_pylist())
         return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()])})
 
-    parts = sets.select("shingles").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
     return np.concatenate([np.frombuffer(bytes(r["counts"]), "<u4") for r in sorted(parts, key=lambda r: r["part"])] or [np.zeros(cells, np.uint32)])
 
 
-def points(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
+def points(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     """``doc_id``, ``n``, two hashes of the set, ``counts`` (the point) and ``prefix`` (rare shingles first)."""
-    shared = sets.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, cuts = rows_of(batch, "shingles")
             rows = []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                own = np.sort(values[a:b])
-                unsigned, n = own.view(np.uint64), b - a
+            for own in map(shingles, batch.column(1).to_pylist()):
+                unsigned, n = own.view(np.uint64), len(own)
                 keys = own[np.lexsort((own, shared.value[cells_of(own, len(shared.value))]))][: n - (n * PERCENT + 99) // 100 + 1] if n else own
                 first = int(np.bitwise_xor.reduce(unsigned * np.uint64(0xBF58476D1CE4E5B9))) if n else 0
                 second = int(np.add.reduce((unsigned ^ (unsigned >> np.uint64(31))) * np.uint64(0x94D049BB133111EB))) if n else 0
@@ -95,7 +132,7 @@ def points(sets: DataFrame, sketch: np.ndarray) -> DataFrame:
             arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(counts, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "first", "second", "counts", "prefix"])
 
-    return sets.mapInArrow(place, "doc_id long, n long, first long, second long, counts binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(place, "doc_id long, n long, first long, second long, counts binary, prefix array<long>")
 
 
 def vector(counts: bytes) -> np.ndarray:
@@ -200,7 +237,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose sets truly reach the similarity, by an exact intersection."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = among(docs.select("doc_id", "text"), ids).select("doc_id", shingles(F.col("text")).alias("shingles"))
+    sets = shingle_lists(among(docs.select("doc_id", "text"), ids))
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
 
@@ -260,10 +297,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     judged too but gives no name; alone it has none. Rows of one ``doc_id`` are judged by their own texts."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = base.select("doc_id", shingles(F.col("text")).alias("shingles"))
     cells = 1 << max(0, base.count() - 1).bit_length()
-    sketch = count_sketch(sets, min(max(cells, SKETCH_CELLS[0]), SKETCH_CELLS[1]))
-    placed = stored(points(sets, sketch), "points")
+    sketch = count_sketch(base, min(max(cells, SKETCH_CELLS[0]), SKETCH_CELLS[1]))
+    placed = stored(points(base, sketch), "points")
     classes = placed.where("n > 0").groupBy("n", "first", "second").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "classes")
     chosen = placed.join(classes.where(F.col("node").isNotNull()).withColumnRenamed("node", "doc_id"), ["n", "first", "second", "doc_id"], "left_semi").dropDuplicates(["doc_id", "n", "first", "second"])

@@ -356,3 +356,18 @@ def test_quality_weights_do_not_follow_the_partitions(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     few, many = (quality_model.train(docs.repartition(n), labels) for n in (4, 211))
     assert np.array_equal(few, many) and np.count_nonzero(few) > 10
+
+
+def test_word_and_shingle_hashes_part_texts_like_the_pattern():
+    texts = [*ODD, "a b\x0bc\x1cd\x85e f", "A a " * 9, "é É ß", " \t\n", "x" * 5000 + " y"]
+    seen = {}
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        hashes = jaccard_join.word_hashes(text).tolist()
+        assert len(hashes) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, hashes, strict=True))
+        runs = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        found = jaccard_join.shingles(text).tolist()
+        assert len(found) == len(runs)
+        if len(runs) == 1:
+            assert seen.setdefault(runs.pop(), found[0]) == found[0]
+    assert len(set(seen.values())) == len(seen)
