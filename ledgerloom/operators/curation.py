@@ -26,6 +26,7 @@ IDENTIFIER = (
     r"(?i)(?:\b(?:IBAN|VKN|TCKN|FİŞ\s*NO|FIS\s*NO|FATURA\s*NO|BELGE\s*NO|REF(?:ERANS)?\s*NO)\b"
     r"|\bTR[0-9]{2}[A-Z0-9]{8,}\b)"
 )
+IDENTIFIER_WORDS = ("iban", "vkn", "tckn", "fis", "fatura", "belge", "ref")
 KEY_FIELD_PREFIXES = ("FİŞ NO", "FATURA NO", "VKN ", "TARİH ", "ARA TOPLAM ", "KDV ", "TOPLAM ")
 PRIORITY_SOURCES = ("OCRTurk", "project_fixture_real_crop", "project_fixture_synthetic")
 SOURCE_WEIGHTS = {
@@ -102,14 +103,16 @@ def hardcase_merge(base: DataFrame, mined: DataFrame) -> DataFrame:
 
 def task_labels(text: Column, hardcase: Column) -> Column:
     trimmed = F.trim(text)
-    upper = F.upper(F.translate(trimmed, "ı", "I"))
-    key_field = F.lit(False)
-    for prefix in KEY_FIELD_PREFIXES:
-        key_field = key_field | F.startswith(upper, F.lit(prefix))
+    starts = lambda u: reduce(lambda a, b: a | b, [F.startswith(u, F.lit(p)) for p in KEY_FIELD_PREFIXES])
+    key_field = let(F.upper(F.translate(trimmed, "ı", "I")), starts)
+    # What every match of a pattern holds is looked for first: most lines hold none of it.
+    digit, beyond_ascii = trimmed.rlike("[0-9]"), F.octet_length(trimmed) > F.length(trimmed)
+    says = lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in IDENTIFIER_WORDS])
+    named = F.contains(trimmed, F.lit("Ş")) | let(F.lower(trimmed), lambda low: says(low) | (F.contains(low, F.lit("tr")) & digit))
     found = _present(
-        F.when(key_field, "key_field"), F.when(trimmed.rlike(AMOUNT), "amount"),
-        F.when(trimmed.rlike(DATE_OR_TIME), "date_or_time"), F.when(trimmed.rlike(IDENTIFIER), "identifier"),
-        F.when(trimmed.rlike(f"[{SPECIAL_LETTERS_LINE}]"), "turkish_special"),
+        F.when(key_field, "key_field"), F.when(digit & trimmed.rlike(AMOUNT), "amount"),
+        F.when(digit & trimmed.rlike(DATE_OR_TIME), "date_or_time"), F.when(named & trimmed.rlike(IDENTIFIER), "identifier"),
+        F.when(beyond_ascii & trimmed.rlike(f"[{SPECIAL_LETTERS_LINE}]"), "turkish_special"),
         F.when(F.length(trimmed) > 40, "long_line"), F.when(hardcase, "hardcase"),
     )
     return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("general_text"))))
@@ -136,9 +139,11 @@ def sampling_weights(
 
 
 def weighted_shares(weighted: DataFrame) -> DataFrame:
-    """Expected share of the sample by source and by task label."""
-    fine = weighted.groupBy("source", "labels").agg(F.sum("weight").alias("w"))
-    total = weighted.agg(F.sum("weight").alias("__all")).withColumn("__one", F.lit(1))
+    """Expected share of the sample by source and by task label.
+
+    One pass: sums by source and label list are written, and all shares are taken from them."""
+    fine = written(weighted.groupBy("source", "labels").agg(F.sum("weight").alias("w")), "shares")
+    total = fine.agg(F.sum("w").alias("__all")).withColumn("__one", F.lit(1))
     by_source = fine.groupBy(F.lit("source").alias("kind"), F.col("source").alias("value")).agg(F.sum("w").alias("w"))
     by_task = fine.select("w", F.explode("labels").alias("value")).groupBy(F.lit("task").alias("kind"), "value").agg(F.sum("w").alias("w"))
     joined = by_source.unionByName(by_task).withColumn("__one", F.lit(1)).join(total, "__one")
