@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import operations
+from ledgerloom.operators import curation, operations, quality
 
 
 def test_event_fan_out_is_dealt_over_all_tasks(spark, monkeypatch):
@@ -18,3 +18,31 @@ def test_event_fan_out_is_dealt_over_all_tasks(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
     busy = found.groupBy(F.spark_partition_id()).count().count()
     assert busy > 1
+
+
+def test_bags_are_compared_in_their_row(spark):
+    rows = [
+        (1, "a", ["x", "x", "y", None], ["x", "x", "x", None, "z"]), (1, "b", [], []), (2, "a", None, ["x"]), (2, "b", ["x"] * 400 + ["y"], ["y"] * 3 + ["x"] * 300),
+        (None, "c", ["x"], ["y"]), (None, "c", ["y"], ["y", "x"]), (4, "d", ["a", "b"], []), (4, "d", [], ["b"]),
+    ]
+    bags = spark.createDataFrame(rows, "k int, e string, l array<string>, r array<string>")
+    found = quality.multiset_overlap(bags, ["k", "e"], "l", "r")
+    assert {tuple(r) for r in found.collect()} == {(1, "a", 4, 5, 3), (2, "a", 0, 1, 0), (2, "b", 401, 303, 301), (None, "c", 2, 3, 2), (4, "d", 2, 1, 1)}
+    single = quality.multiset_overlap(bags.where("k in (1, 2)"), ["k", "e"], "l", "r")
+    assert "explode" not in single._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shares_work_out_the_labels_once(spark):
+    lines = spark.createDataFrame([(1, "s", "KDV 12,50", 1), (2, "t", "abc", 2), (3, "t", "12.05.2024 ref no", 1), (4, "t", None, 1)], "id int, source string, text string, hardcase_weight int")
+    lines = lines.withColumn("reasons", F.array().cast("array<string>"))
+    shares = curation.weighted_shares(curation.sampling_weights(lines))
+    assert {(r["kind"], r["value"]) for r in shares.collect()} >= {("source", "s"), ("task", "amount"), ("task", "date_or_time"), ("task", "identifier"), ("task", "general_text")}
+    assert "RLIKE" not in shares._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_guards_leave_the_labels_as_the_patterns_give_them(spark):
+    texts = ["iban", "an iBaN x", "FİŞ NO", "FİŞNO", "fis  no", "fatura no 1", "Belge NO", "ref no", "REFERANS no", "TR12ABCDEFGH", "tr1 x", "vkn", "TCKN 5", "no", "1.05", "10,5", "1/2/24", "9:05", "nine", "Çay", "é", "ı", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("l", curation.task_labels(F.col("t"), F.lit(False)))
+    for name, pattern in (("amount", curation.AMOUNT), ("date_or_time", curation.DATE_OR_TIME), ("identifier", curation.IDENTIFIER), ("turkish_special", f"[{curation.SPECIAL_LETTERS_LINE}]")):
+        for row in rows.select("t", F.array_contains("l", name).alias("a"), F.coalesce(F.trim("t").rlike(pattern), F.lit(False)).alias("b")).collect():
+            assert row["a"] == row["b"], (name, row["t"])
