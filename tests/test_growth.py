@@ -60,18 +60,19 @@ def test_narrow_tables_give_the_whole_tables_alignment():
         if a != b:
             pairs.append((a, b))
     whole = [[p[1:] for p in quality._unequal_pairs([a], [b])] for a, b in pairs]
-    cost = np.array([len(w) for w in whole])
-    row, r, h = quality._close_pairs([a for a, _ in pairs], [b for _, b in pairs], cost)
-    got = [[] for _ in pairs]
-    for k, x, y in zip(row.tolist(), r.tolist(), h.tolist(), strict=True):
-        got[k].append((x, y))
-    assert got == [[(int(x), int(y)) for x, y in w] for w in whole]
+    least = np.array([abs(len(a) - len(b)) for a, b in pairs])
+    for guess in (np.array([len(w) for w in whole]), least, least + 3):
+        row, r, h = quality._close_pairs([a for a, _ in pairs], [b for _, b in pairs], guess)
+        got = [[] for _ in pairs]
+        for k, x, y in zip(row.tolist(), r.tolist(), h.tolist(), strict=True):
+            got[k].append((x, y))
+        assert got == [[(int(x), int(y)) for x, y in w] for w in whole]
 
 
 def test_confusions_of_close_lines_skip_the_whole_table(spark, monkeypatch):
     monkeypatch.setattr(quality, "WHOLE_CELLS", 2_000)
     a = "the quick brown fox jumps over the lazy dog again and again until it rests"
-    rows = [("e", a, a.replace("e", ""), None), ("e", a, a[::-1], None), ("f", "ab", "", None), ("f", "", "x", None), ("f", "x", "y", "BAD")]
+    rows = [("e", a, a.replace("e", ""), None), ("e", a, a[::-1], None), ("f", "ab", "", None), ("f", "", "x", None), ("f", "x", "y", "BAD"), ("g", "x" * 100, "ab", None)]
     found = quality.char_confusions(spark.createDataFrame(rows, "engine string, reference string, prediction string, error_code string").coalesce(1))
     want = Counter((e, "<inserted>" if x < 0 else chr(x), "<deleted>" if y < 0 else chr(y)) for e, r, h, bad in rows if not bad for _, x, y in quality._unequal_pairs([r], [h]))
     assert {(x["engine"], x["reference_char"], x["predicted_char"]): x["count"] for x in found.collect()} == want
