@@ -23,14 +23,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ledgerloom.llm.bpe import id_table, worker_copy
+from ledgerloom.llm.bpe import worker_copy
+from ledgerloom.llm.byte_chunks import ChunkTable
 from ledgerloom.llm.common import file_bytes, shared_folder, slices
 from ledgerloom.llm.pretokens import ByteSplitter
 
 #: Bytes of frames in a chunk, at least one document.
 CHUNK = 1 << 20
-#: Values that a worker remembers while it writes.
-CACHE = 1_400_000
+#: Chunks that a worker remembers while it writes.
+CACHE = 700_000
 #: Documents that train the dictionary (a bounded sample by a hash of the id) and the dictionary's bytes.
 TRAIN_DOCS, DICT_BYTES = 1_000, 64 * 1024
 
@@ -41,14 +42,18 @@ def id_width(definition: bytes) -> int:
     return 2 if Tokenizer.from_str(definition.decode("utf-8")).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
+def id_table(definition: bytes, width: int) -> ChunkTable:
+    return ChunkTable(ByteSplitter(Tokenizer.from_str(definition.decode("utf-8"))), width, CACHE)
+
+
 def train_dictionary(docs: DataFrame, definition: bytes, width: int, end_id: int) -> bytes:
     """Dictionary from about ``TRAIN_DOCS`` documents chosen by a hash of their id; empty where they are too few.
 
     The sample only shapes the compression: any dictionary gives the same ids back."""
     every = max(1, docs.count() // TRAIN_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(4 * TRAIN_DOCS)
-    texts = [r["text"] for r in sample.toLocalIterator()]
-    serialized = [ids + end_id.to_bytes(width, "little") for ids in id_table(definition, ByteSplitter, width).values(texts)]
+    texts = pa.array([r["text"] for r in sample.toLocalIterator()], pa.string())
+    serialized = [ids + end_id.to_bytes(width, "little") for ids in id_table(definition, width).values(texts)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, serialized).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -71,7 +76,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     shared = spark.sparkContext.broadcast((definition, dictionary))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = worker_copy("store", digest, lambda: id_table(shared.value[0], ByteSplitter, width, CACHE)), end_id.to_bytes(width, "little")
+        table, end = worker_copy("store", digest, lambda: id_table(shared.value[0], width)), end_id.to_bytes(width, "little")
         options = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
         compressor = zstandard.ZstdCompressor(level=level, write_checksum=False, **options)
         shard, start, done, ids, counts, frames = TaskContext.get().partitionId(), 0, 0, [], [], []
@@ -84,8 +89,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
 
         held = 0
-        for batch in slices(batches):
-            for doc_id, encoded in zip(batch.column(0).to_pylist(), table.values(batch.column(1).to_pylist()), strict=True):
+        for batch in batches:
+            for doc_id, encoded in zip(batch.column(0).to_pylist(), table.values(batch.column(1)), strict=True):
                 serialized = encoded + end
                 frame = compressor.compress(serialized)
                 if frames and held + len(frame) > CHUNK:

@@ -10,12 +10,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerloom.llm import bpe, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_model, quality_rules, token_counts, token_store
+from ledgerloom.llm import bpe, byte_chunks, decontaminate, html_text, jaccard_join, language_id, line_dedup, quality_model, quality_rules, token_counts, token_store
 from ledgerloom.llm.pretokens import BYTE_PATTERN, UNCOMMON, WORD_PATTERN
 
 SF = "/root/testdata/sf0.001"
@@ -371,3 +373,37 @@ def test_word_and_shingle_hashes_part_texts_like_the_pattern():
         if len(runs) == 1:
             assert seen.setdefault(runs.pop(), found[0]) == found[0]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_chunk_ids_equal_the_library_at_any_cut(monkeypatch):
+    """Odd texts and random mixes, in groups of one text and of all, with a memory that forgets all the time."""
+    library, rng = Tokenizer.from_file(BYTE), np.random.default_rng(8)
+    with open(BYTE, "rb") as file:
+        definition = file.read()
+    parts = [" ", " ", "\n", "\n", "\t", "\r", "\x0b", "a", "B", "the", "1", "23", "'", "'s", "'ll", ".", ",", "!", "-", "(", "|", "\xe9", "\xd7", "\u024f", "\u0250", "\xb2", "\u0301", "\u2019", "\u65e5", "\u0391", "\u0436", "\U0001f600", "\x00", "\x7f"]
+    unusual = [chr(c) for a, b in byte_chunks.UNUSUAL_SPACES for c in (a, b)] + ["<|", "<|endoftext|>"]
+    mixed = ["".join(rng.choice(p, rng.integers(0, 25))) for p in (parts, parts + unusual) for _ in range(1500)]
+    texts = [*ODD, *mixed, "x" + "ab" * 400 + " tail", "", "  \n ", "a \n", " b"]
+    for group, limit in ((1, 1_000), (2_000, 0), (1 << 20, 1_000)):
+        monkeypatch.setattr(byte_chunks, "GROUP", group)
+        monkeypatch.setattr(token_store, "CACHE", limit)
+        table = token_store.id_table(definition, 2)
+        got = [np.frombuffer(b, "<u2").tolist() for b in table.values(pa.array(["before", *texts], pa.string()).slice(1))]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert max(map(len, table.known)) <= 64
+    assert list(table.values(pa.array([], pa.string()))) == []
+
+
+def test_token_store_asks_the_library_once_for_a_chunk_and_costs_less_than_word_by_word(monkeypatch):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    with open(BYTE, "rb") as file:
+        definition = file.read()
+    table, words, asked = token_store.id_table(definition, 2), bpe.id_table(definition, token_store.ByteSplitter, 2), []
+    expected = words.values(texts.to_pylist())
+    assert list(table.values(texts)) == expected
+    monkeypatch.setattr(table, "library", lambda chunks: asked.extend(chunks) or [])
+    start = time.process_time()
+    words.values(texts.to_pylist())
+    middle = time.process_time()
+    assert list(table.values(texts)) == expected and asked == []
+    assert time.process_time() - middle < 0.75 * (middle - start)
