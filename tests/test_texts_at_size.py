@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import random
 
-from ledgerloom.operators import lines
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text_pairs
+from ledgerloom.operators import lines, quality
 
 
 def test_xml_values_are_read_by_two_paths(spark):
@@ -21,3 +25,40 @@ def test_xml_values_are_read_by_two_paths(spark):
     assert two["document_number"] is None and "MALFORMED_DOCUMENT" in two["issues"] and three["merchant"] is None and four["merchant"] is None
     # every call of a path function parses the text again
     assert found._jdf.queryExecution().optimizedPlan().toString().count("xpath_string(") <= 2
+
+
+def plain_distance(a, b) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distances_of_any_length_and_alphabet(spark):
+    dice = random.Random(4)
+    pairs = [("", ""), ("", "abc"), ("a", ""), (None, "a"), ("a", None), ("şğ😀", "sg"), ("x" * 64, "x" * 65), ("ab" * 64, "ba" * 64), ("q" * 700, "p" * 20)]
+    for alphabet in ("ab", "abcdefghijklmnop .,1", "abçşİ€😀𐍈"):
+        for size in (5, 63, 64, 65, 130, 300):
+            for _ in range(20):
+                text = "".join(dice.choices(alphabet, k=dice.randint(size // 2, size)))
+                other = "".join(dice.choices(alphabet, k=size)) if dice.random() < 0.3 else "".join(c for c in text if dice.random() < 0.9)
+                pairs.append((text, other + dice.choice(["", "z"])))
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").coalesce(1)
+    found = rows.select("k", text_pairs.edits("a", "b").alias("d"), F.levenshtein("a", "b").alias("plain")).collect()
+    assert len(found) == len(pairs)
+    for row in found:
+        a, b = pairs[row["k"]]
+        assert row["d"] == row["plain"] == (None if a is None or b is None else plain_distance(a, b)), (a, b)
+
+
+def test_word_errors_and_special_letters_of_a_pair(spark):
+    pairs = [("a b c", "a x c", 1 / 3), (" a\tb\n", "a b", 0.0), ("", "a", 1.0), ("", "", 0.0), (None, "a", None), ("a", None, None), ("ş b c", "ş b c", 1.0)]
+    pairs += [(" ".join(f"w{k}" for k in range(200)), " ".join(f"w{k}" for k in range(0, 200, 2)), 0.5)]
+    rows = spark.createDataFrame(pairs, "r string, h string, want double")
+    assert all(r["got"] == r["want"] for r in rows.select(quality.wer(F.col("r"), F.col("h")).alias("got"), "want").collect())
+    texts = [("çğı I", "çç Iİ"), ("", ""), (None, "çç"), ("ğğı", None), (None, None), ("abc", "abc"), ("Şş", "şŞ")]
+    own = spark.createDataFrame(texts, "r string, h string").select("*", text_pairs.shared_letters("çğıİşŞI")("r", "h").alias("n"))
+    assert [tuple(r["n"]) for r in own.collect()] == [(4, 4, 2), (0, 0, 0), (None, 2, 2), (3, None, 3), (None, None, None), (0, 0, 0), (2, 2, 2)]
