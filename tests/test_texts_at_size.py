@@ -7,8 +7,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import text_pairs
-from ledgerloom.operators import lines, quality
+from ledgerloom.functions import text, text_pairs
+from ledgerloom.operators import extraction, lines, quality
 
 
 def test_xml_values_are_read_by_two_paths(spark):
@@ -43,9 +43,9 @@ def test_edit_distances_of_any_length_and_alphabet(spark):
     for alphabet in ("ab", "abcdefghijklmnop .,1", "abçşİ€😀𐍈"):
         for size in (5, 63, 64, 65, 130, 300):
             for _ in range(20):
-                text = "".join(dice.choices(alphabet, k=dice.randint(size // 2, size)))
-                other = "".join(dice.choices(alphabet, k=size)) if dice.random() < 0.3 else "".join(c for c in text if dice.random() < 0.9)
-                pairs.append((text, other + dice.choice(["", "z"])))
+                own = "".join(dice.choices(alphabet, k=dice.randint(size // 2, size)))
+                other = "".join(dice.choices(alphabet, k=size)) if dice.random() < 0.3 else "".join(c for c in own if dice.random() < 0.9)
+                pairs.append((own, other + dice.choice(["", "z"])))
     rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").coalesce(1)
     found = rows.select("k", text_pairs.edits("a", "b").alias("d"), F.levenshtein("a", "b").alias("plain")).collect()
     assert len(found) == len(pairs)
@@ -62,3 +62,19 @@ def test_word_errors_and_special_letters_of_a_pair(spark):
     texts = [("çğı I", "çç Iİ"), ("", ""), (None, "çç"), ("ğğı", None), (None, None), ("abc", "abc"), ("Şş", "şŞ")]
     own = spark.createDataFrame(texts, "r string, h string").select("*", text_pairs.shared_letters("çğıİşŞI")("r", "h").alias("n"))
     assert [tuple(r["n"]) for r in own.collect()] == [(4, 4, 2), (0, 0, 0), (None, 2, 2), (3, None, 3), (None, None, None), (0, 0, 0), (2, 2, 2)]
+
+
+def test_lines_are_folded_together_as_each_alone(spark):
+    dice = random.Random(8)
+    texts = ["", " ", "\n\n", "a\rb\r\nc", "{x}\n{\n}y", "İŞLEM  ığ\n\tÇ\x0bd\f e \ń\nSTRASSE ß", None, "Σ\nΣας Σ.", "a \n b", "12,50 TL\n-"]
+    texts += ["".join(dice.choices("aZ{}9 .,\t\n\r\x0b\fİıçé́ΣK ₺", k=60)) for _ in range(300)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, normalized string")
+    plain = F.filter(F.transform(F.split(F.translate("normalized", "\r", ""), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    made = extraction.with_lines(rows).withColumn("plain", plain)
+    found = made.select("normalized", "lines.text", "lines.folded", "lines.no", "plain", F.transform("plain", text.fold).alias("each"), F.col("folded").alias("whole"), text.fold(F.col("normalized")).alias("want"))
+    for row in found.toDF("normalized", "text", "folded", "no", "plain", "each", "whole", "want").collect():
+        assert (row["text"], row["folded"]) == (row["plain"], row["each"]), row
+        assert row["whole"] == row["want"] and row["no"] == (None if row["plain"] is None else list(range(len(row["plain"])))), row
+    # one search folds the lines of a text, whatever their number
+    plan = extraction.with_lines(rows).select("lines")._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^a-z0-9](?<!" not in plan
