@@ -8,7 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, text_pairs
-from ledgerloom.operators import extraction, lines, quality
+from ledgerloom.functions.storage import written
+from ledgerloom.operators import curation, extraction, lines, quality
 
 
 def test_xml_values_are_read_by_two_paths(spark):
@@ -78,3 +79,31 @@ def test_lines_are_folded_together_as_each_alone(spark):
     # one search folds the lines of a text, whatever their number
     plan = extraction.with_lines(rows).select("lines")._jdf.queryExecution().optimizedPlan().toString()
     assert "[^a-z0-9](?<!" not in plan
+
+
+def test_order_of_matches_is_counted_in_the_row_of_a_small_document(spark, monkeypatch):
+    dice = random.Random(3)
+    rows = [(d, t, p) for d, n in enumerate((1, 2, 5, 9, 30)) for t, p in enumerate(dice.sample(range(40), n))]
+    rows += [(7, None, 3), (7, 2, None), (7, 5, 9)]
+    matches = spark.createDataFrame(rows, "doc_id int, truth int, pred int")
+    own = {d: [(t is not None, t or 0, p is not None, p or 0) for e, t, p in rows if e == d] for d in {r[0] for r in rows}}
+    want = {d: sum(a[2:] < b[2:] for a in ms for b in ms if a[:2] < b[:2]) for d, ms in own.items()}
+    for few in (64, 4, 0):
+        monkeypatch.setattr(curation, "FEW_MATCHES", few)
+        found = curation.ordered_pairs(matches)
+        assert {r["doc_id"]: (r["pairs"], r["in_order"]) for r in found.collect()} == {d: (len(ms) * (len(ms) - 1) // 2, want[d]) for d, ms in own.items()}, few
+
+
+def test_a_round_of_matches_deals_rows_three_times(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(curation, "written", kept)
+    pairs = spark.createDataFrame([(1, 7, 7, 0.75), (1, 7, 8, 0.6), (1, 9, 8, 0.55), (2, None, 1, 0.9)], "doc_id int, truth int, pred int, iou double")
+    found = curation.greedy_matches(pairs).collect()
+    assert sorted(map(tuple, found), key=repr) == [(1, 7, 7, 0.75), (1, 9, 8, 0.55), (2, None, 1, 0.9)]
+    windows = [line.split("[doc_id")[1].split("]")[0].split("#")[1].split(", ")[1] for line in plans[0].splitlines() if "Window [" in line]
+    assert windows == ["truth", "pred", "pred", "truth"]
