@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import groups
 from ..functions.money import EXACT, exact, percent_2dp, total
+from ..functions.storage import written
 from ..functions.text import fold
 from .lifecycle import instant
 
@@ -14,8 +15,10 @@ OUTBOX_STATES = ("pending", "published", "failed")
 INBOX_STATES = ("processed", "failed")
 JOB_STATES = ("QUEUED", "RUNNING", "SUCCEEDED", "FAILED", "CANCELED")
 TASK_STATES = ("QUEUED", "RUNNING", "SUCCEEDED", "FAILED", "CANCELED")
-# Endpoints in one list of the event fan-out: what a joined row holds at once.
-FAN_LIST = 10_000
+# Endpoints in one list of the event fan-out: what a joined row holds at once. Parquet packs eight numbers at a time.
+FAN_LIST = 1_024
+# Endpoint and topic pairs (8 bytes each) that are sent to all tasks.
+FAN_SENT = 1_000_000
 LATENCY_EDGES = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 
@@ -74,18 +77,27 @@ def replay_plan(outbox: DataFrame, per_tenant: int, dry_run: bool, **policy: str
 def event_subscriptions(outbox: DataFrame, endpoint: DataFrame) -> DataFrame:
     """One delivery row per event and enabled endpoint that lists its topic.
 
-    The join meets events with lists of at most about ``FAN_LIST`` endpoints; a list becomes rows after it. Events
-    are dealt by their id first: topics are few, and the rows multiply in the task that holds the event."""
+    The join meets events with lists of at most ``FAN_LIST`` endpoints; a list becomes rows after it. Events are dealt
+    by their id first: topics are few, and the rows multiply in the task that holds the event. A task takes the events
+    of one list after each other, so that a sink by columns sees the same endpoints again and again and keeps them small."""
     wanted = (
         endpoint.where("enabled")
         .select(F.col("id").alias("endpoint_id"), "tenant_id", F.explode(F.array_distinct("event_types")).alias("topic"))
     )
-    part = F.pmod(F.xxhash64("endpoint_id"), F.lit(endpoint.count() // FAN_LIST + 1))
-    lists = wanted.groupBy("tenant_id", "topic", part).agg(F.collect_list(F.struct("endpoint_id")).alias("listed"))
+    numbered = groups.positions(wanted, ["tenant_id", "topic"], [F.asc("endpoint_id")], "n")
+    part = F.floor((F.col("n") - 1) / FAN_LIST).alias("part")
+    lists = numbered.groupBy("tenant_id", "topic", part).agg(F.sort_array(F.collect_list(F.struct("endpoint_id"))).alias("listed"))
+    last = numbered.groupBy("tenant_id", "topic").agg(F.max(part).alias("last"))
     tasks = int(outbox.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = outbox.select(F.col("id").alias("event_id"), "tenant_id", "topic").repartition(tasks, "event_id")
-    met = dealt.join(lists.select("tenant_id", "topic", F.col("listed.endpoint_id").alias("endpoints")), ["tenant_id", "topic"])
-    return met.select("event_id", F.explode("endpoints").alias("endpoint_id"), "tenant_id", "topic")
+    met = outbox.select(F.col("id").alias("event_id"), "tenant_id", "topic").join(last, ["tenant_id", "topic"]).repartition(tasks, "event_id")
+    parts = met.select("event_id", "tenant_id", "topic", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
+    # Written, as a sort below a join has no effect.
+    dealt = written(parts.sortWithinPartitions("tenant_id", "topic", "part", "event_id"), "fan-out")
+    lists = lists.select("tenant_id", "topic", "part", F.col("listed.endpoint_id").alias("endpoints"))
+    # Few events are the smaller side by bytes; to send them to the lists would leave all rows to the lists' few tasks.
+    small = numbered.count() <= FAN_SENT
+    fanned = dealt.join(F.broadcast(lists) if small else lists, ["tenant_id", "topic", "part"])
+    return fanned.select("event_id", F.explode("endpoints").alias("endpoint_id"), "tenant_id", "topic")
 
 
 def consumer_lag(committed: DataFrame, high: DataFrame) -> DataFrame:

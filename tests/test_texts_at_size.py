@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text, text_pairs
 from ledgerloom.functions.storage import written
-from ledgerloom.operators import curation, extraction, lines, quality
+from ledgerloom.operators import curation, extraction, lines, operations, quality
 
 
 def test_xml_values_are_read_by_two_paths(spark):
@@ -107,3 +107,18 @@ def test_a_round_of_matches_deals_rows_three_times(spark, monkeypatch):
     assert sorted(map(tuple, found), key=repr) == [(1, 7, 7, 0.75), (1, 9, 8, 0.55), (2, None, 1, 0.9)]
     windows = [line.split("[doc_id")[1].split("]")[0].split("#")[1].split(", ")[1] for line in plans[0].splitlines() if "Window [" in line]
     assert windows == ["truth", "pred", "pred", "truth"]
+
+
+def test_events_of_one_list_of_endpoints_lie_together(spark, monkeypatch):
+    monkeypatch.setattr(operations, "FAN_LIST", 8)
+    outbox = spark.range(400).select("id", (F.col("id") % 5).alias("tenant_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("topic"))
+    topics = F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b")))
+    endpoint = spark.range(200).select("id", (F.col("id") % 5).alias("tenant_id"), F.lit(True).alias("enabled"), topics.alias("event_types"))
+    found = operations.event_subscriptions(outbox, endpoint)
+    rows = found.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    want = {(e, k) for e in range(400) for k in range(200) if e % 5 == k % 5 and (k % 2 == 0 or e % 3)}
+    assert len(rows) == len(want) and {(r["event_id"], r["endpoint_id"]) for r in rows} == want
+    tasks = len({r["task"] for r in rows})
+    groups = [(r["task"], r["tenant_id"], r["topic"]) for r in rows]
+    # a tenant and topic begins once in a task
+    assert sum(a != b for a, b in zip(groups, groups[1:])) < tasks * 10
