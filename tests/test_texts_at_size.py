@@ -122,3 +122,12 @@ def test_events_of_one_list_of_endpoints_lie_together(spark, monkeypatch):
     groups = [(r["task"], r["tenant_id"], r["topic"]) for r in rows]
     # a tenant and topic begins once in a task
     assert sum(a != b for a, b in zip(groups, groups[1:])) < tasks * 10
+
+
+def test_a_phrase_is_searched_before_its_blanks(spark):
+    texts = [" fis ", " xfis ", " fisx fis ", " e arsiv ", " earsivx ", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select(text.says(F.col("t"), r"\bfis\b").alias("fis"), text.says(F.col("t"), r"\be\s*arsiv\b").alias("e"))
+    assert [tuple(r) for r in found.collect()] == [(True, False), (False, False), (True, False), (False, True), (False, False), (False, False), (None, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(t#" in plan and ", fis) AND" in plan
